@@ -26,8 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         if hooks.isEmpty():
             release(edges, hooks)
             return labels
-        jump = hooks.withColumnsRenamed({"node": "component"})
-        twice = hooks.withColumnsRenamed({"node": "to", "to": "to2"})
+        jump = hooks.select(F.col("node").alias("component"), "to")
+        twice = hooks.select(F.col("node").alias("to"), F.col("to").alias("to2"))
         moved = labels.join(jump, "component", "left").join(twice, "to", "left")
         moved = materialize(moved.select("node", F.coalesce("to2", "to", "component").alias("component")), "labels")
         release(labels, hooks)
