@@ -40,11 +40,13 @@ from millrace.llm.textvec import lowered, mix, slices, spaced, span_hashes, text
 K, BATCH, WORDS, PAIRS = 5, 12 << 20, 3_000_000, 6_000_000
 #: A history is spread over buckets from this many tokens, and from this share of all tokens on.
 HOT, SHARE = 1 << 20, 1e-4
+#: Parts of the words' hash range; the most word buckets there can be.
+SPOTS = 1 << 16
 #: Stands for a null key inside a batch.
 NO_ID = -(1 << 63)
 END = np.uint64(0xE0D0_E0D0_E0D0_E0D1)
 
-BATCHES = "batch_id long, docs binary, train binary, sizes binary, tokens binary, words binary, counts binary, n_tokens long, n_train long, n_words long"
+BATCHES = "batch_id long, docs binary, train binary, sizes binary, tokens binary, spots binary, words binary, counts binary, n_tokens long, n_train long, n_words long"
 PARTS = "kind string, bucket long, batch_id long, data binary"
 
 
@@ -56,7 +58,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         a = np.ascontiguousarray(a)
         planes = a.view(np.uint8).reshape(-1, a.itemsize).T if len(a) else a.view(np.uint8)
-        blob = zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+        blob = zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
         out.append(np.array([len(blob), len(a)], "<u8").tobytes() + a.dtype.str.encode().ljust(4) + blob)
     return b"".join(out)
 
@@ -99,8 +101,11 @@ def good_turing(seen: list[int], k: int = K) -> np.ndarray:
     return d
 
 
-def batches(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, train, text) as batches of token numbers with each batch's distinct words."""
+def batches(docs: DataFrame, n: int) -> DataFrame:
+    """Documents (doc_id, train, text) as batches of token numbers with each batch's distinct words.
+
+    ``spots`` has each distinct word's part of ``n``, which picks its bucket, and ``n`` for the end token.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -123,10 +128,10 @@ def batches(docs: DataFrame) -> DataFrame:
                 words, tokens = np.unique(all_tokens, return_inverse=True)
                 learned = np.repeat(train[i:j], size)
                 counts = np.bincount(tokens[learned], minlength=len(words))
-                row = [(part << 32) + made, pack(ids[i:j]), pack(train[i:j].astype("u1")), pack(small(size)), pack(small(tokens)), pack(words), pack(small(counts)), len(tokens), int(learned.sum()), len(words)]
+                row = [(part << 32) + made, pack(ids[i:j]), pack(train[i:j].astype("u1")), pack(small(size)), pack(small(tokens)), pack(np.where(words == END, n, words % np.uint64(n)).astype("<u4")), pack(words), pack(small(counts)), len(tokens), int(learned.sum()), len(words)]
                 made += 1
                 names = [x.split()[0] for x in BATCHES.split(", ")]
-                kinds = [pa.int64()] + [pa.binary()] * 6 + [pa.int64()] * 3
+                kinds = [pa.int64()] + [pa.binary()] * 7 + [pa.int64()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
     return docs.select("doc_id", "train", "text").mapInArrow(run, BATCHES)
@@ -151,7 +156,7 @@ def count_words(made: DataFrame, n: int) -> DataFrame:
         for pdf in parts:
             for row in pdf.itertuples():
                 words, counts = *unpack(row.words), *unpack(row.counts)
-                yield _frame([("ask", b, row.batch_id, pack(words[at], counts[at])) for b, at in by_bucket((words % np.uint64(n)).astype(np.int64), n)])
+                yield _frame([("ask", b, row.batch_id, pack(words[at], counts[at])) for b, at in by_bucket((words % np.uint64(SPOTS)).astype(np.int64) % n, n)])
 
     def total(key, pdf: pd.DataFrame) -> pd.DataFrame:
         b, got = int(key[0]), [unpack(x) for x in pdf["data"]]
@@ -200,10 +205,10 @@ def unseen_mass(stats: np.ndarray, total: int, d: np.ndarray) -> float:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for (doc_id, train, text) rows."""
     spark = docs.sparkSession
-    made = materialize(batches(docs), "batches", compression="none")
-    totals = made.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     width = partitions(spark)
-    n_words, n_pairs = max(width, -(-(totals[1] or 0) // WORDS)), max(width, -(-(totals[0] or 0) // PAIRS))
+    made = materialize(batches(docs, SPOTS), "batches", compression="none")
+    totals = made.agg(F.sum("n_tokens"), F.sum("n_words")).first()
+    n_words, n_pairs = min(SPOTS, max(width, -(-(totals[1] or 0) // WORDS))), max(width, -(-(totals[0] or 0) // PAIRS))
     replies = materialize(count_words(made, n_words), "words", compression="none")
     stats = summed_stats(replies)
     total, types = int(stats[-1]), int(stats[1 : K + 3].sum())
@@ -219,10 +224,12 @@ def score(docs: DataFrame) -> DataFrame:
     def pairs(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for row in left.itertuples():
-            ids, train, size, tokens, words = (unpack(x)[0] for x in (row.docs, row.train, row.sizes, row.tokens, row.words))
-            number, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            ids, train, size, tokens, spots = (unpack(x)[0] for x in (row.docs, row.train, row.sizes, row.tokens, row.spots))
+            end = int(np.flatnonzero(spots == SPOTS)[0])
+            spots[end] = END % np.uint64(SPOTS)
+            number, count = np.zeros(len(spots), np.int64), np.zeros(len(spots), np.int64)
             reply = {int(r.bucket): unpack(r.data) for r in right.itertuples()}
-            for b, at in by_bucket((words % np.uint64(n_words)).astype(np.int64), n_words):
+            for b, at in by_bucket(spots.astype(np.int64) % n_words, n_words):
                 number[at], count[at] = reply[b]
             size, tokens = size.astype(np.int64), tokens.astype(np.int64)
             first = np.cumsum(size) - size
@@ -232,9 +239,9 @@ def score(docs: DataFrame) -> DataFrame:
             rows.append(("docs", int(row.batch_id % n_pairs), row.batch_id, pack(ids, train, small(size), small(known), base)))
             before = np.empty_like(tokens)
             before[1:] = tokens[:-1]
-            before[first] = int(np.searchsorted(words, END))
+            before[first] = end
             of = np.repeat(np.arange(len(size)), size)
-            wb, db = max(1, int(len(words) - 1).bit_length()), max(1, int(len(size) - 1).bit_length())
+            wb, db = max(1, int(len(spots) - 1).bit_length()), max(1, int(len(size) - 1).bit_length())
             code = np.sort((before << (wb + db)) | (tokens << db) | of)  # 2 * 24 + 15 bits at most, as BATCH bounds words
             new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
             times, doc, pair = np.diff(np.r_[new, len(code)]), code[new] & ((1 << db) - 1), code[new] >> db
@@ -297,7 +304,7 @@ def score(docs: DataFrame) -> DataFrame:
         return _frame(rows)
 
     replied = replies.filter("kind = 'reply'").select("batch_id", "bucket", "data")
-    sent = made.drop("counts").groupBy("batch_id").cogroup(replied.groupBy("batch_id")).applyInPandas(pairs, PARTS)
+    sent = made.drop("words", "counts").groupBy("batch_id").cogroup(replied.groupBy("batch_id")).applyInPandas(pairs, PARTS)
     resolved = sent.groupBy("bucket").applyInPandas(resolve, PARTS)
     model = materialize(resolved, "katz", by=("kind",), compression="none")
     release(made, replies)
