@@ -12,6 +12,8 @@ Very long texts are encoded whole. An empty table gives no rows. Other columns a
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 import unicodedata
 import zlib
@@ -23,11 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.textvec import slices, spaced, span_hashes, text_buffers
+
 CAPACITY, END = 4096, 1
 #: Pieces of one group, packed by one task.
 GROUP = 40_000
-#: Entries of a worker's piece cache; it starts afresh when full.
-CACHED = 400_000
+#: Entries of a worker's caches of words and of their pieces, which start afresh when full.
+CACHED = 500_000
+
+#: Bytes of text whose words are looked up together.
+SLICE = 8 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -43,10 +50,16 @@ _UNUSUAL = re.compile(f"[^{''.join(map(re.escape, _PLAIN))}]")
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\s{_class('L', 'N')}]+")
 
 
+#: The byte-level alphabet: visible bytes of Latin-1 stand for themselves, the others follow from 256 on.
+_SEEN = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or 174 <= b]
+_BYTES = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SEEN))}
+
+
 class WordEncoder:
-    """Encodes texts with a word-level BPE, remembering the ids of white-space separated parts.
+    """Encodes texts with a word-level BPE. A slice's distinct words are looked up once; the rest is array work.
 
-    ``ids(text)`` equals the tokenizer's own output as little-endian 32-bit ids.
+    ``rows`` equals the tokenizer's own output as little-endian 32-bit ids. Texts with characters whose case or
+    normal form could reach over a word (``_UNUSUAL``) go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
@@ -54,35 +67,67 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.parts: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.words: dict[int, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            if len(self.pieces) >= CACHED:
-                self.pieces.clear()
-            got = self.pieces[piece] = self._whole(piece)
+            # a piece is one word of the model, in its byte-level form, which for ASCII is itself
+            form = piece if piece.isascii() else "".join(map(_BYTES.__getitem__, piece.encode()))
+            got = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(form)])
         return got
 
-    def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            got = b"".join(map(self._piece, _SPLIT.findall(part.lower())))
-            if len(part) < 64:
-                if len(self.parts) >= CACHED:
-                    self.parts.clear()
-                self.parts[part] = got
-        return got
+    def _word(self, word: str) -> bytes | None:
+        """A word's ids; None if its text must be encoded whole."""
+        if not word.isascii() and _UNUSUAL.search(word) or _CONTROL.search(word):
+            return None
+        return b"".join(map(self._piece, _SPLIT.findall(word.lower())))
+
+    def rows(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each row of UTF-8 texts."""
+        starts, ends, of = spaced(raw, offsets)
+        n = len(offsets) - 1
+        if not len(starts):
+            return [b""] * n
+        keys, first, back = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        keys, known, data = keys.tolist(), self.words, raw.tobytes()
+        if len(known) > CACHED:
+            known.clear()
+        if len(self.pieces) > CACHED:
+            self.pieces.clear()
+        values = list(map(known.get, keys, itertools.repeat(b"")))
+        for i in [i for i, v in enumerate(values) if v == b""]:
+            a, z = starts[first[i]], ends[first[i]]
+            values[i] = got = self._word(data[a:z].decode())
+            if z - a < 64:
+                known[keys[i]] = got
+        odd = np.array([v is None for v in values])
+        values = [v or b"" for v in values]
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        pool, at = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size) - size
+        many = size[back]
+        total = np.cumsum(many)
+        ids = pool[np.arange(int(total[-1])) + np.repeat(at[back] - (total - many), many)].tobytes()
+        edge = 4 * np.r_[0, np.cumsum(np.bincount(of, many, n).astype(np.int64))]
+        out = [ids[a:z] for a, z in itertools.pairwise(edge.tolist())]
+        for r in np.unique(of[odd[back]]).tolist():
+            out[r] = self.whole(data[offsets[r] : offsets[r + 1]].decode())
+        return out
 
     def ids(self, text: str) -> bytes:
-        if not text.isascii() and _UNUSUAL.search(text) or "\x00" in text or _CONTROL.search(text):
-            return self._whole(text)
-        get, part = self.parts.get, self._part
-        return b"".join([get(w) or part(w) for w in text.split()])
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.rows(raw, np.array([0, len(raw)]))[0]
+
+
+@functools.lru_cache(1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder per worker process, so that tasks which follow each other share its caches."""
+    return WordEncoder(path)
 
 
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
@@ -100,12 +145,14 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer), np.asarray([END], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer), np.asarray([END], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                rows += [(key, *p) for p in pieces_of(encoder.ids(text.as_py() or "") + end, capacity)]
+            rows, keys = [], batch["doc_id"].to_pylist()
+            raw, offsets = text_buffers(batch["text"])
+            for i, j in slices(offsets, SLICE):
+                made = encoder.rows(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                rows += [(key, *p) for key, ids in zip(keys[i:j], made, strict=True) for p in pieces_of(ids + end, capacity)]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
