@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of digits, lower-case letters and non-ASCII characters, after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words in a shingle and the similarity that makes near duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -72,13 +72,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+def lowered(text: Column) -> Column:
+    """Lower case; null becomes empty.
+
+    The Kelvin sign is the one character outside ASCII that lower() makes an ASCII letter of; a text with it has
+    only A-Z lower-cased. So words stand where they would if only A-Z were lower-cased, and ASCII ones are equal.
+    """
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.contains("\u212a"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
 def words(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
-    return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))
 
 
 def text_key(text: Column) -> Column:

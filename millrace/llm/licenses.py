@@ -71,7 +71,7 @@ def _strings(values: list[str]) -> Column:
 
 
 def scan(docs: DataFrame, contained: float = CONTAINED, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """docs without text but with n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
+    """docs without text (and without columns of the names below) but with n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
     ``matches`` lists (label, template, first word of the best block, containment) of what met a template.
     """
@@ -84,7 +84,7 @@ def scan(docs: DataFrame, contained: float = CONTAINED, templates: dict[str, lis
     prefix = lambda bag: order(bag)[: len(set(bag)) - need(bag) + 1]
     rare = sorted({w for *_, b in bags for w in prefix(b)} | {p[a] for (p, _), a in zip(phrases, anchors, strict=True)})
 
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches", "_w", "_hits", "_base", "_met")]
     out = docs.select(*(f"`{c}`" for c in keep), words(F.col("text")).alias("_w"))
     out = out.withColumn("_hits", F.filter(F.transform("_w", lambda w, i: F.when(w.isin(rare), i).otherwise(-1)), lambda i: i >= 0))
     w, hits = F.col("_w"), F.col("_hits")
