@@ -347,7 +347,12 @@ def brute_classes(rows):
     return sorted(((d, least[of[t or ""]]) for d, t in rows), key=str)
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("stars,fine,tile", [(2, neardup.FINE, 256), (0, (), 16)])
+def test_near_duplicates(spark, monkeypatch, stars, fine, tile):
+    monkeypatch.setattr(neardup, "STARS", stars)
+    monkeypatch.setattr(neardup, "FINE", fine)
+    monkeypatch.setattr(neardup, "TILE", tile)
+    monkeypatch.setattr(neardup, "WIDTH", 300)
     chain = [prose(120, 900).split()]
     for i in range(8):  # neighbours are near, the ends are not
         chain.append(["w%d%d" % (i, j) if 10 * i <= j < 10 * i + 8 else w for j, w in enumerate(chain[-1])])
