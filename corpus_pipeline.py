@@ -16,23 +16,24 @@ from millrace.llm.queries import fit_language, tokenizer_path
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: no text, or no letter in it."""
-    return language.identify(docs, fit_language(docs)).filter("lang_pred <> 'und'").select(docs.columns)
+    found = language.identify(docs, fit_language(docs), added=("_mr_lang", "_mr_score", "_mr_near"))
+    return found.filter("_mr_lang <> 'und'").select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take recurring lines out of all documents but the first; a document of which no word is left goes."""
-    out = linedup.strip(docs)
-    blank = (F.size("drops") > 0) & ~F.col("text").rlike(r"\S")
-    return out.filter(~blank).withColumn("n_chars", F.when(F.size("drops") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    out = linedup.strip(docs, ("_mr_lines", "_mr_drops"))
+    lost = F.size("_mr_drops") > 0
+    return out.filter(~(lost & ~F.col("text").rlike(r"\S"))).withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near duplicates."""
     kept = materialize(neardup.classes(docs).filter("representative").select("doc_id", "text_key").distinct(), "kept")
-    kept = kept.withColumnsRenamed({"doc_id": "_id", "text_key": "_text"})
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    out = keyed.join(kept, (F.col("_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return out.dropDuplicates(["_key", "doc_id"]).select(docs.columns)
+    kept = kept.withColumnsRenamed({"doc_id": "_mr_id", "text_key": "_mr_text"})
+    keyed = docs.withColumn("_mr_key", text_key(F.col("text")))
+    out = keyed.join(kept, (F.col("_mr_key") == F.col("_mr_text")) & F.col("doc_id").eqNullSafe(F.col("_mr_id")), "left_semi")
+    return out.dropDuplicates(["_mr_key", "doc_id"]).select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

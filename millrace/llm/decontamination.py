@@ -115,4 +115,4 @@ def row_key() -> Column:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item; same columns."""
     bad = materialize(matches(docs, benchmark).select("key").distinct(), "contaminated")
-    return docs.withColumn("_key", row_key()).join(bad.withColumnRenamed("key", "_key"), "_key", "left_anti").drop("_key")
+    return docs.withColumn("_mr_key", row_key()).join(bad.withColumnRenamed("key", "_mr_key"), "_mr_key", "left_anti").drop("_mr_key")

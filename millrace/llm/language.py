@@ -185,12 +185,15 @@ def fit(rows: DataFrame) -> Model:
     return Model(languages, code, weights.astype(np.float32), bias, trust)
 
 
-def identify(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
-    """docs with lang_pred, score and ambiguous added; the text is read whole, other columns pass through."""
+ADDED = ("lang_pred", "score", "ambiguous")
+
+
+def identify(docs: DataFrame, model: Model, keep_text: bool = True, added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """docs with three columns ``added`` (they replace columns so named); the text is read whole, others pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: BUCKETS x bits
     schema = docs.schema
-    names = [n for n in docs.columns if n not in ("lang_pred", "score", "ambiguous", "" if keep_text else "text")]
-    ddl = ", ".join(f"`{n}` {schema[n].dataType.simpleString()}" for n in names) + ", lang_pred string, score double, ambiguous boolean"
+    names = [n for n in docs.columns if n not in (*added, "" if keep_text else "text")]
+    ddl = ", ".join(f"`{n}` {schema[n].dataType.simpleString()}" for n in names) + ", {} string, {} double, {} boolean".format(*added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -202,6 +205,6 @@ def identify(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame
                 best, score, near, letters = np.zeros(len(letters), int), np.zeros(len(letters)), np.ones(len(letters), bool), letters * 0
             pred = pa.array([m.languages[b] if n else "und" for b, n in zip(best, letters, strict=True)], pa.string())
             none = letters == 0
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pred, pa.array(np.where(none, 0.0, score)), pa.array(near | none)], [*names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pred, pa.array(np.where(none, 0.0, score)), pa.array(near | none)], [*names, *added])
 
     return docs.select(*(f"`{n}`" for n in dict.fromkeys([*names, "text"]))).mapInArrow(run, ddl)
