@@ -582,6 +582,42 @@ def coerced_arrays(spark, d):
     return e.select("event_id", records.coerce_array(F.when(F.col("event_id") % 2 == 0, plain).otherwise(F.substring(quoted, 2, 1 << 20).substr(F.lit(1), F.length(quoted) - 2))).alias("items"))
 
 
+@query("SELECT count(*) AS chunks, count(*) AS files, count(*) - 1 AS chunks_stored, true AS drift FROM documents")
+def status_drift(spark, d):
+    c = chunks(spark, d)
+    meta = c.agg((F.count(F.lit(1)) - 1).alias("chunks_stored"), F.count(F.lit(1)).alias("files_indexed"))
+    return lookups.status(meta, c, files(spark, d)).select("chunks", "files", "chunks_stored", "drift")
+
+
+@query(f"""WITH {TRIALS}, g AS (SELECT corpus, task_id, model, arm, avg(correctness * ln(1 + 1 / greatest(tokens, 1.0)) * success::INTEGER) AS aei FROM trials GROUP BY ALL)
+SELECT corpus, task_id, model, arm, (substr(task_id, 2)::INTEGER % 6)::INTEGER AS difficulty, round(CASE WHEN substr(task_id, 2)::INTEGER % 6 = 0 THEN 0 ELSE aei / (substr(task_id, 2)::INTEGER % 6) END, 9) AS dae FROM g""")
+def adjusted_efficiency(spark, d):
+    tasks = spark.range(12).filter("id % 6 <> 0").select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("task_id"), (F.col("id") % 6).cast("int").alias("difficulty"))
+    return experiments.adjusted(experiments.groups(trials(spark, d)), tasks).select("corpus", "task_id", "model", "arm", "difficulty", F.round("dae", 9).alias("dae"))
+
+
+@query("""SELECT m.m AS model, r.r::INTEGER AS repetition, a.a AS arm, CASE WHEN (r.r % 2 = 1) = (a.a = 'tool') THEN 0 ELSE 1 END AS arm_order, 't' || (n_nationkey) AS task_id FROM nation, (VALUES ('x'), ('y')) m(m), range(1, 4) r(r), (VALUES ('tool'), ('traditional')) a(a)""")
+def trial_design(spark, d):
+    return experiments.design(spark, ["x", "y"], 3, [f"t{r.n_nationkey}" for r in read(spark, d, "nation").collect()])
+
+
+@query("SELECT o_orderpriority AS hypothesis, max(CASE WHEN o_orderstatus = 'F' THEN 'supported' END) AS F, max(CASE WHEN o_orderstatus = 'O' THEN 'not supported' END) AS O, max(CASE WHEN o_orderstatus = 'P' THEN 'not supported' END) AS P FROM orders GROUP BY 1")
+def verdict_summary(spark, d):
+    v = read(spark, d, "orders").select(F.col("o_orderstatus").alias("corpus"), F.col("o_orderpriority").alias("hypothesis"), (F.col("o_orderstatus") == "F").alias("supported")).distinct()
+    return experiments.summary(v)
+
+
+@query(f"WITH {CHANGES}, l AS (SELECT path, arg_max(is_removal, (ts, is_removal)) AS r FROM changes GROUP BY path) SELECT path, r AS removed FROM l")
+def change_split(spark, d):
+    gone, touched = streams.split(change_rows(spark, d))
+    return gone.withColumn("removed", F.lit(True)).unionByName(touched.withColumn("removed", F.lit(False)))
+
+
+@query(f"WITH {GRAPH} SELECT coalesce(t.file_path, '') || '::' || coalesce(t.symbol, e.target_symbol) AS key, count(*) AS n FROM edges e JOIN nodes s ON s.id = e.source_id LEFT JOIN nodes t ON t.symbol = e.target_symbol WHERE edge_type = 'import' AND s.symbol = 'supplier_7' GROUP BY 1")
+def structural_keys(spark, d):
+    return evaluation.structural(nodes(spark, d), edges(spark, d), "imports", "supplier_7", 1).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid retrieval over a batch of queries: vector and lexical ranks fused per query."""
     v = vecs(spark, d)
