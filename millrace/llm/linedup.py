@@ -1,9 +1,11 @@
 """Line dedup with a log-template tree, in DataFrame functions only.
 
-A line is its tokens (white space apart); a token with a digit is a variable field. The tree has fixed depth:
-number of tokens, then the first ``LEAD`` tokens. At a leaf a line belongs to its exact template (all tokens,
-variable fields left open) and, from ``LONG`` tokens on, to ``RUNS`` more, in each of which one run of an
-eighth of its tokens is left open too; lines of a leaf that differ in one run share that template.
+A line is its tokens (white space apart); a run of digits is a variable field. The tree has fixed depth: number
+of tokens, then the first ``LEAD`` tokens. At a leaf a line belongs to its exact template (all tokens, variable
+fields left open) and, from ``LONG`` tokens on, to ``RUNS`` more, in each of which one run of an eighth of its
+tokens is left open too; lines of a leaf that differ in one run share that template. Two such lines agree in the
+first or the second half of their runs, so the wider templates are made only for lines that share a half with
+another line; the rest cannot have a partner.
 
 A template recurs if enough documents have it: two for lines of ``LONG`` tokens or more, ``OFTEN`` for shorter
 ones; lines under ``LEAST`` tokens are never dropped. The first document that has it (smallest doc_id, null
@@ -19,11 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, release
+from millrace.llm.common import let, materialize, release
 
 LEAD, RUNS = 2, 8
 LEAST, LONG, OFTEN = 5, 20, 8
-_FIELD = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 
 def row_key() -> Column:
@@ -34,40 +35,64 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def templates(docs: DataFrame) -> DataFrame:
-    """(key, doc, at, long, templates) of each line that can be dropped; ``doc`` orders documents."""
-    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col("_key").alias("key"))
-    rows = docs.select("doc_id", row_key().alias("_key"), lines(F.col("text")).alias("lines"))
-    rows = rows.select("_key", order.alias("doc"), F.posexplode("lines").alias("at", "line"))
-    rows = rows.withColumn("t", F.split(F.trim(F.regexp_replace("line", _FIELD, "<*>")), r"\s+")).filter(F.size("t") >= LEAST)
-    n = F.size("t")
-    leaf = F.xxhash64(n, F.slice("t", 1, LEAD))
+def tokens(line: Column) -> Column:
+    """Tokens of a line with runs of digits made alike."""
+    even = F.regexp_replace(line, r"[0-9]+", "0")
+    even = F.when(line.rlike(r"[\t\x0b\f\r]"), F.regexp_replace(even, r"[\t\x0b\f\r]", " ")).otherwise(even)
+    return F.array_remove(F.split(even, " "), "")
+
+
+def _describe(at: Column, t: Column) -> Column:
+    n = F.size(t)
     edge = lambda j: F.floor(j * n / RUNS).cast("int")
-    runs = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda j: F.xxhash64(F.slice("t", edge(j) + 1, edge(j + 1) - edge(j))))
-    rows = rows.select(F.col("_key").alias("key"), "doc", "at", (n >= LONG).alias("long"), leaf.alias("leaf"), F.xxhash64("t").alias("exact"), F.when(n >= LONG, runs).otherwise(F.array().cast("array<bigint>")).alias("runs"))
-    opened = F.transform("runs", lambda _, j: F.xxhash64("leaf", j, F.transform("runs", lambda r, i: F.when(i == j, F.lit(0).cast("long")).otherwise(r))))
-    return rows.select("key", "doc", "at", "long", F.concat(F.array(F.xxhash64("leaf", F.lit(-1), "exact")), opened).alias("templates"))
+    runs = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda j: F.hash(F.slice(t, edge(j) + 1, edge(j + 1) - edge(j))))
+    short = F.array(F.hash(t), F.hash(F.reverse(t)))
+    return F.struct(at.alias("at"), n.alias("n"), F.xxhash64(n, F.slice(t, 1, LEAD)).alias("leaf"), F.when(n >= LONG, runs).when(n >= LEAST, short).alias("runs"))
+
+
+def templates(docs: DataFrame) -> DataFrame:
+    """(key, doc, at, long, leaf, runs, exact) of each line that can be dropped; ``doc`` orders documents."""
+    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), row_key().alias("key"))
+    described = F.transform(lines(F.col("text")), lambda line, i: let(tokens(line), lambda t: _describe(i, t)))
+    rows = docs.select(order.alias("doc"), F.explode(F.filter(described, lambda x: x["n"] >= LEAST)).alias("x"))
+    return rows.select(F.col("doc.key").alias("key"), "doc", "x.at", (F.col("x.n") >= LONG).alias("long"), "x.leaf", "x.runs", F.xxhash64("x.leaf", "x.runs").alias("exact"))
+
+
+def wider(made: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(exact, first) of long lines that share a recurring wider template; firsts has (exact, first, last)."""
+    half = RUNS // 2
+    halves = F.array(F.xxhash64("leaf", F.lit(0), F.slice("runs", 1, half)), F.xxhash64("leaf", F.lit(1), F.slice("runs", half + 1, RUNS - half)))
+    each = made.filter("long").select("exact", F.explode(halves).alias("half"))
+    shared = each.groupBy("half").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).filter("a <> b").select("half")
+    near = materialize(each.join(shared, "half").select("exact").distinct(), "partners")
+    lines_ = made.filter("long").join(near, "exact").select("exact", "leaf", "runs").dropDuplicates(["exact"])
+    opened = F.transform("runs", lambda _, j: F.xxhash64("leaf", j, F.transform("runs", lambda r, i: F.when(i == j, F.lit(0)).otherwise(r))))
+    wide = materialize(lines_.join(firsts, "exact").select("exact", "first", "last", F.explode(opened).alias("template")), "wider")
+    groups = wide.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first <> last").select("template", "first")
+    out = materialize(wide.select("exact", "template").join(groups, "template").groupBy("exact").agg(F.min("first").alias("first")), "wide")
+    release(near, wide)
+    return out
 
 
 def dropped(docs: DataFrame) -> DataFrame:
     """(key, drops): the numbers of the lines that each document loses."""
     made = materialize(templates(docs), "lines")
-    each = made.select("key", "doc", "at", "long", F.explode("templates").alias("template"))
     first, last = F.min("doc").alias("first"), F.max("doc").alias("last")
-    long = each.filter("long").groupBy("template").agg(first, last).filter("first <> last").select("template", "first")
-    short = each.filter("not long").groupBy("template", "key").agg(F.min("doc").alias("doc")).groupBy("template").agg(first, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).select("template", "first")
-    recurring = materialize(long.unionByName(short), "templates")
-    lost = each.join(recurring, "template").filter(F.col("doc") != F.col("first")).select("key", "at").distinct()
-    out = materialize(lost.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("drops")), "drops")
-    release(made, recurring)
+    firsts = materialize(made.filter("long").groupBy("exact").agg(first, last), "firsts")
+    long = firsts.filter("first <> last").select("exact", "first").unionByName(wider(made, firsts))
+    short = made.filter("not long").groupBy("exact", "key").agg(F.min("doc").alias("doc")).groupBy("exact").agg(first, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).select("exact", "first")
+    recurring = materialize(long.unionByName(short).groupBy("exact").agg(F.min("first").alias("first")), "templates")
+    lost = made.select("exact", "key", "doc", "at").join(recurring, "exact").filter(F.col("doc") != F.col("first")).select("key", "at")
+    out = materialize(lost.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("drops")), "drops")
+    release(made, firsts, recurring)
     return out
 
 
-def strip(docs: DataFrame) -> DataFrame:
-    """docs with the recurring lines gone from text, and n_lines and drops (numbers of the lines lost) added."""
-    lost = dropped(docs).withColumnsRenamed({"key": "_key", "drops": "_drops"})
-    keep = [c for c in docs.columns if c not in ("text", "n_lines", "drops")]
-    joined = docs.withColumn("_key", row_key()).join(lost, "_key", "left")
-    parts = lines(F.col("text"))
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_drops", i)), "\n")
-    return joined.select(*(f"`{c}`" for c in keep), F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept).alias("text"), F.size(parts).alias("n_lines"), F.coalesce("_drops", F.array().cast("array<int>")).alias("drops"))
+def strip(docs: DataFrame, added: tuple[str, str] = ("n_lines", "drops")) -> DataFrame:
+    """docs with the recurring lines gone from text, and two columns ``added``: lines there were, numbers of those lost."""
+    lost = dropped(docs).withColumnsRenamed({"key": "_mr_key", "drops": "_mr_drops"})
+    keep = [c for c in docs.columns if c not in ("text", *added)]
+    joined = docs.withColumn("_mr_key", row_key()).join(lost, "_mr_key", "left")
+    parts, drops = lines(F.col("text")), F.col("_mr_drops")
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(drops, i)), "\n")
+    return joined.select(*(f"`{c}`" for c in keep), F.when(drops.isNull(), F.col("text")).otherwise(kept).alias("text"), F.size(parts).alias(added[0]), F.coalesce(drops, F.array().cast("array<int>")).alias(added[1]))
