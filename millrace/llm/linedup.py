@@ -13,7 +13,7 @@ ids last, then smallest text hash) keeps its lines, all other documents lose the
 
 Null text counts as empty. Rows with equal doc_id and text are one document: they keep or lose the same lines.
 Texts are taken whole; lines end at \\n, and what is kept is joined by \\n. Empty tables give no rows; columns
-with clashing names do no harm.
+with clashing names do no harm. Joins are merge joins at every size, as on tables that are too large to broadcast.
 """
 
 from __future__ import annotations
@@ -64,12 +64,12 @@ def wider(made: DataFrame, firsts: DataFrame) -> DataFrame:
     halves = F.array(F.xxhash64("leaf", F.lit(0), F.slice("runs", 1, half)), F.xxhash64("leaf", F.lit(1), F.slice("runs", half + 1, RUNS - half)))
     each = made.filter("long").select("exact", F.explode(halves).alias("half"))
     shared = each.groupBy("half").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).filter("a <> b").select("half")
-    near = materialize(each.join(shared, "half").select("exact").distinct(), "partners")
-    lines_ = made.filter("long").join(near, "exact").select("exact", "leaf", "runs").dropDuplicates(["exact"])
+    near = materialize(each.join(shared.hint("merge"), "half").select("exact").distinct(), "partners")
+    lines_ = made.filter("long").join(near.hint("merge"), "exact").select("exact", "leaf", "runs").dropDuplicates(["exact"])
     opened = F.transform("runs", lambda _, j: F.xxhash64("leaf", j, F.transform("runs", lambda r, i: F.when(i == j, F.lit(0)).otherwise(r))))
     wide = materialize(lines_.join(firsts, "exact").select("exact", "first", "last", F.explode(opened).alias("template")), "wider")
     groups = wide.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first <> last").select("template", "first")
-    out = materialize(wide.select("exact", "template").join(groups, "template").groupBy("exact").agg(F.min("first").alias("first")), "wide")
+    out = materialize(wide.select("exact", "template").join(groups.hint("merge"), "template").groupBy("exact").agg(F.min("first").alias("first")), "wide")
     release(near, wide)
     return out
 
@@ -82,7 +82,7 @@ def dropped(docs: DataFrame) -> DataFrame:
     long = firsts.filter("first <> last").select("exact", "first").unionByName(wider(made, firsts))
     short = made.filter("not long").groupBy("exact", "key").agg(F.min("doc").alias("doc")).groupBy("exact").agg(first, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).select("exact", "first")
     recurring = materialize(long.unionByName(short).groupBy("exact").agg(F.min("first").alias("first")), "templates")
-    lost = made.select("exact", "key", "doc", "at").join(recurring, "exact").filter(F.col("doc") != F.col("first")).select("key", "at")
+    lost = made.select("exact", "key", "doc", "at").join(recurring.hint("merge"), "exact").filter(F.col("doc") != F.col("first")).select("key", "at")
     out = materialize(lost.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("drops")), "drops")
     release(made, firsts, recurring)
     return out
@@ -92,7 +92,7 @@ def strip(docs: DataFrame, added: tuple[str, str] = ("n_lines", "drops")) -> Dat
     """docs with the recurring lines gone from text, and two columns ``added``: lines there were, numbers of those lost."""
     lost = dropped(docs).withColumnsRenamed({"key": "_mr_key", "drops": "_mr_drops"})
     keep = [c for c in docs.columns if c not in ("text", *added)]
-    joined = docs.withColumn("_mr_key", row_key()).join(lost, "_mr_key", "left")
+    joined = docs.withColumn("_mr_key", row_key()).join(lost.hint("merge"), "_mr_key", "left")
     parts, drops = lines(F.col("text")), F.col("_mr_drops")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(drops, i)), "\n")
     return joined.select(*(f"`{c}`" for c in keep), F.when(drops.isNull(), F.col("text")).otherwise(kept).alias("text"), F.size(parts).alias(added[0]), F.coalesce(drops, F.array().cast("array<int>")).alias(added[1]))
