@@ -58,7 +58,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linedup.strip(docs).select("doc_id", "n_lines", F.size("drops").alias("n_dropped"), "drops", "text")
+    return linedup.strip(docs).select("doc_id", "n_lines", F.size("drops").alias("n_dropped"), F.array_join("drops", ",").alias("drops"), "text")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.read_records(bundles, payloads=False).drop("payload")
+    return warc.read_records(bundles, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +92,39 @@ SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
 
 
+#: Every window where a shingle stands at its place in an item, compared by multisets of shingle texts.
+LEAKS_SQL = r"""
+WITH t AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') FROM benchmark),
+s AS (SELECT side, id, len(w) AS m, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS s FROM t WHERE len(w) > 0),
+e AS (SELECT side, id, m, s, unnest(s) AS x, unnest(range(0, len(s))) AS pos FROM s),
+p AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id, d.pos - i.pos AS start, i.m FROM e d JOIN e i ON d.x = i.x WHERE d.side = 'd' AND i.side = 'i'),
+a AS (SELECT p.*, d.s[greatest(start, 0) + 1:greatest(start, 0) + greatest(p.m - 4, 1) + least(start, 0)] AS a, i.s AS b FROM p JOIN s d ON d.side = 'd' AND d.id = p.doc_id JOIN s i ON i.side = 'i' AND i.id = p.item_id),
+c AS (SELECT *, coalesce(list_sum(list_transform(list_intersect(list_distinct(a), b), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) AS common FROM a),
+j AS (SELECT doc_id, item_id, common / (len(a) + len(b) - common) AS similarity, start FROM c)
+SELECT doc_id, item_id, max(similarity)::DOUBLE AS similarity, greatest(arg_max(start, (similarity, -start)), 0)::INTEGER AS first_word FROM j WHERE similarity >= 0.8 GROUP BY doc_id, item_id"""
+
+LINES_SQL = f"""
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+k AS (SELECT doc_id, pos, list_filter(string_split(regexp_replace(regexp_replace(l[pos + 1], '[0-9]+', '0', 'g'), '[\\t\\v\\f\\r]', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS pos FROM d)),
+g AS (SELECT doc_id, pos, len(t) >= {linedup.LONG} AS long, [-1, len(t)] AS j, t AS a, []::VARCHAR[] AS b FROM k WHERE len(t) >= {linedup.LEAST}
+  UNION ALL SELECT doc_id, pos, true, [j, len(t)], list_concat(t[1:{linedup.LEAD}], ['|'], t[1:j * len(t) // {linedup.RUNS}]), t[(j + 1) * len(t) // {linedup.RUNS} + 1:] FROM (SELECT *, unnest(range(0, {linedup.RUNS})) AS j FROM k WHERE len(t) >= {linedup.LONG})),
+r AS (SELECT long, j, a, b, min(doc_id) AS first FROM g GROUP BY ALL HAVING count(DISTINCT doc_id) >= CASE WHEN long THEN 2 ELSE {linedup.OFTEN} END),
+x AS (SELECT doc_id, list_sort(list(DISTINCT pos)) AS drops FROM g JOIN r USING (long, j, a, b) WHERE doc_id <> first GROUP BY doc_id)
+SELECT doc_id, len(l)::INTEGER AS n_lines, coalesce(len(drops), 0)::INTEGER AS n_dropped, coalesce(array_to_string(drops, ','), '') AS drops,
+  CASE WHEN drops IS NULL THEN text ELSE array_to_string([l[i + 1] for i in range(0, len(l)) if NOT list_contains(drops, i)], chr(10)) END AS text FROM d LEFT JOIN x USING (doc_id)"""
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION BY sha1(h)) AS top FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (i // 4 * 5 + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id <> top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM s"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op1_license_scan": licenses.scan_sql(), "op4_exact_topk": TOPK_SQL}
+    out = {"op1_license_scan": licenses.scan_sql(), "op4_exact_topk": TOPK_SQL, "op5_decontamination": LEAKS_SQL, "op7_line_dedup": LINES_SQL, "op9_warc": WARC_SQL}
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
