@@ -18,8 +18,11 @@ def fold(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits of the folded text, in order."""
-    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
+    """Runs of letters and digits of the folded text, in order. ASCII texts take a shorter way to the same."""
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.length(text) == F.octet_length(text)
+    parts = F.when(ascii_only, F.split(F.lower(text), r"[^a-z0-9]+")).otherwise(F.split(fold(text), r"[^\p{L}\p{N}\p{Co}]+"))
+    return F.array_remove(parts, "")
 
 
 def sanitize(query: Column) -> Column:
