@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import smallest
 from millrace.llm.textvec import mix, slices, text_buffers
 
 #: Hash buckets of the n-grams, and the largest sample of labelled rows that the classifiers are fitted on.
@@ -144,8 +145,7 @@ def _histograms(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray,
 
 def sample(docs: DataFrame, usable: Column, most: int = SAMPLE) -> DataFrame:
     """At most ``most`` labelled rows: those with the smallest hashes of their ids. The bound is a parameter of the fit."""
-    labelled = docs.filter(usable & F.col("label").isNotNull() & F.col("text").isNotNull())
-    return labelled.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(most)
+    return smallest(docs.filter(usable & F.col("label").isNotNull() & F.col("text").isNotNull()), most, SEED)
 
 
 def fit(rows: DataFrame) -> Model:

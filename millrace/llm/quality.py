@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import smallest
 from millrace.llm.textvec import counted, lowered, mix, slices, spaced, span_hashes, text_buffers
 
 #: Hash buckets, latent dimensions, the largest labelled sample, neighbours that vote, rows of a block.
@@ -107,7 +108,7 @@ class Model:
 
 def sample(rows: DataFrame, usable: Column, most: int = SAMPLE) -> DataFrame:
     """At most ``most`` labelled rows: those with the smallest hashes of their ids. The bound is a parameter of the fit."""
-    return rows.filter(usable & F.col("label").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "label").limit(most)
+    return smallest(rows.filter(usable & F.col("label").isNotNull()), most, SEED, ties=("label",))
 
 
 def fit(rows: DataFrame) -> Model:
