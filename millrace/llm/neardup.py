@@ -9,8 +9,12 @@ Registers are cut into bands; texts that share a band are candidates, and each l
 multiset overlap (sum of minima over sum of maxima).
 
 Equal texts are one text. In a bucket of texts that share a band, every member first meets a member chosen by
-hash, a few times over; after that only members of still different classes meet each other, so a class comes
-from all candidate links without listing all pairs of a large group of copies.
+hash, ``STARS`` times over. What then still is of different classes within a bucket meets likewise in much finer
+buckets (many random subsets of registers, ``FINE``), which find the closest pairs first and leave few classes
+apart. The rest gets an exact set-similarity join: shingles are put in order of their frequency, rarest first,
+and two texts of different classes can be similar only if they share one of the first n - ceil(0.8 n) + 1. Texts
+that are connected by such shingles are compared in blocks, each pair of blocks by one product of incidence
+matrices. So a class comes from all links, while no pairs of a group are listed: links are all that comes out.
 
 Null text counts as empty. Texts of one to four words have all their words as one shingle; texts without words
 are classes with their equal texts only. Texts are taken whole. A class is named by its smallest key; rows
@@ -24,8 +28,10 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import SHINGLE, SIMILARITY, materialize, release, text_key
@@ -36,7 +42,11 @@ from millrace.llm.textvec import counted, lowered, mix, shingles, slices, span_h
 BANDS, DEPTH = 32, 6
 REGISTERS = BANDS * DEPTH
 #: Rounds in which members of a bucket meet one chosen member.
-STARS = 4
+STARS = 2
+#: (registers, subsets) of the rounds on what is still apart.
+FINE = ((24, 200), (20, 200), (16, 200))
+#: Texts of a block, and columns of one product.
+TILE, WIDTH = 256, 4096
 SEED = np.uint64(0x5851F42D4C957F2D)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,7 +70,7 @@ def signatures(keys: np.ndarray, rows: np.ndarray, weights: np.ndarray, n: int,
     while len(live):
         lo = 0 if level == 0 else 1 << (level - 1)
         span = max(lo, 1)
-        seeds.append(mix(keys[live] + SEED * np.uint64(level + 1)))
+        seeds.append(mix(keys[live] + np.uint64((int(SEED) * (level + 1)) % (1 << 64))))
         owner.append(rows[live])
         width.append(np.full(len(live), float(span)))
         inside.append(np.minimum(weights[live] - lo, span) / span)
@@ -160,6 +170,116 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
+def subset_keys(least: np.ndarray, depth: int, count: int) -> np.ndarray:
+    """(rows, count) keys, each of ``depth`` registers drawn at random (the same draw for all rows)."""
+    low, rng = least & np.uint64(0xFFFFFFFF), np.random.default_rng(depth)
+    out = np.empty((len(low), count), np.uint64)
+    for b in range(count):
+        h = np.full(len(low), np.uint64((b + 1) * 0x9E3779B9), np.uint64)
+        for c in rng.choice(low.shape[1], depth, replace=False):
+            h = (h ^ low[:, c]) * STEP
+            h ^= h >> np.uint64(32)
+        out[:, b] = h
+    return out.view(np.int64)
+
+
+def fine_pairs(rest: DataFrame, texts: DataFrame, depth: int, count: int, least: float = SIMILARITY) -> DataFrame:
+    """(node, other) pairs of different components that share a fine bucket; each meets the bucket's chosen member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_buffers(batch["text"])
+            sizes, keys = [], []
+            for i, j in slices(offsets):
+                k, r, w = bag(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                keys += list(subset_keys(signatures(k, r, w, j - i), depth, count))
+                sizes += np.bincount(r, w, j - i).astype(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["component"], pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "component", "shingles", "keys"])
+
+    made = materialize(rest.join(texts, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, shingles long, keys array<long>"), "fine")
+    rows = made.select("node", "component", "shingles", F.explode("keys").alias("key"))
+    return star_pairs(rows, "key", depth, least)
+
+
+def star_pairs(rows: DataFrame, key: str, turn: int, least: float) -> DataFrame:
+    """Each row's node with its bucket's chosen node, where their components differ and their sizes may agree."""
+    chosen = F.min_by(F.struct("node", "component", "shingles"), F.xxhash64("node", F.lit(turn))).alias("c")
+    apart = rows.groupBy(key).agg(chosen, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(key, "c")
+    pairs = rows.join(materialize(apart, "stars"), key).filter("component <> c.component")
+    return pairs.filter(F.least("shingles", "c.shingles") >= F.greatest("shingles", "c.shingles") * least).select("node", F.col("c.node").alias("other"))
+
+
+def block_links(left: tuple, right: tuple, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of the similar pairs of different components; sides are (components, token arrays)."""
+    (ca, ta), (cb, tb) = left, right
+    na, nb = (np.array([len(t) for t in x]) for x in (ta, tb))
+    tokens = np.concatenate([*ta, *tb])
+    row = np.repeat(np.arange(len(ta) + len(tb)), np.r_[na, nb])
+    _, column, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    keep = often[column] > 1  # others are in no overlap
+    used, column = np.unique(column[keep], return_inverse=True)
+    row = row[keep]
+    both = np.zeros((len(ta), len(tb)), np.float32)
+    order = np.argsort(column, kind="stable")
+    for c in range(0, len(used), WIDTH):
+        lo, hi = np.searchsorted(column[order], [c, c + WIDTH])
+        part = order[lo:hi]
+        cells = np.zeros((len(ta) + len(tb), min(WIDTH, len(used) - c)), np.float32)
+        cells[row[part], column[part] - c] = 1
+        both += cells[: len(ta)] @ cells[len(ta) :].T
+    hit = (both >= least * (na[:, None] + nb[None, :] - both) - 1e-6) & (ca[:, None] != cb[None, :])
+    if same:
+        hit &= np.tri(len(ta), len(tb), -1, dtype=bool).T
+    return np.nonzero(hit)
+
+
+def rest_links(rest: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b) links between different components among (node, component) rows: prefix filter, then blocks.
+
+    A multiset is the set of its shingles numbered by occurrence. Shingles that only one text has come first in
+    its order and meet nobody, so they only count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_buffers(batch["text"])
+            tokens = []
+            for i, j in slices(offsets):
+                k, r, w = bag(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                turn = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+                numbered = mix(np.repeat(k, w) + turn.astype(np.uint64) * STEP).view(np.int64)
+                edges = np.r_[0, np.cumsum(np.bincount(r, w, j - i).astype(np.int64))]
+                tokens += [numbered[a:z] for a, z in itertools.pairwise(edges)]
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["component"], pa.array(tokens, pa.list_(pa.int64()))], ["node", "component", "tokens"])
+
+    made = materialize(rest.join(texts, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, tokens array<long>"), "tokens")
+    rows = made.select("node", "component", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    # a token that no second component has cannot lead to a link, but takes its place in the order
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often"), (F.min("component") < F.max("component")).alias("apart")).filter("often > 1")
+    order = W.partitionBy("node").orderBy("often", "token")
+    place = F.row_number().over(order) + F.col("n") - F.count(F.lit(1)).over(W.partitionBy("node"))
+    prefix = rows.join(often, "token").withColumn("place", place).filter(F.col("apart") & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1))
+    prefix = materialize(prefix.select("token", "node"), "prefixes")
+    edges = prefix.join(prefix.groupBy("token").agg(F.min("node").alias("b")), "token").select(F.col("node").alias("a"), "b")
+    groups = components(edges).withColumnRenamed("component", "cluster")
+    sizes = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    blocks = groups.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tiles = made.join(blocks, "node").select("cluster", "node", "component", "tokens", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o"))
+    tiles = tiles.select("cluster", F.least("block", "_o").alias("x"), F.greatest("block", "_o").alias("y"), "block", "node", "component", "tokens")
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, x, y = (int(k) for k in key)
+        sides = []
+        for b in (x, y):
+            part = pdf[pdf["block"] == b]
+            sides.append((part["component"].to_numpy(), list(part["tokens"]), part["node"].to_numpy()))
+        (ca, ta, a), (cb, tb, b) = sides
+        i, j = block_links((ca, ta), (cb, tb), x == y, least) if len(ta) and len(tb) else (np.zeros(0, int), np.zeros(0, int))
+        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
+
+    return tiles.groupBy("cluster", "x", "y").applyInPandas(compare, "a long, b long")
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of the class), text_key, representative.
 
@@ -178,28 +298,25 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     texts = materialize(source.select("node", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["node"]), "candidates")
     links = None
     labels = None
-    for turn in range(STARS + 1):
-        if labels is None:
-            now = members.withColumn("component", F.col("node"))
+    rest = None
+    for turn in range(STARS + len(FINE) + 1):
+        now = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if turn < STARS:
+            pairs = star_pairs(now, "band", turn, least)
         else:
-            now = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        chosen = F.min_by(F.struct("node", "component", "shingles"), F.xxhash64("node", F.lit(turn))).alias("c")
-        apart = materialize(now.groupBy("band").agg(chosen, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "c"), "apart")
-        if apart.isEmpty():
+            apart = materialize(now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band"), "apart")
+            rest = materialize(now.join(apart, "band").select("node", "component").distinct(), "rest")
             release(apart)
-            break
-        if turn < STARS:
-            pairs = now.join(apart, "band").filter("component <> c.component").select("node", F.col("c.node").alias("other"), "shingles", F.col("c.shingles").alias("shingles2"))
-        else:  # whoever is still apart meets all of the bucket's other classes
-            left = now.join(apart.select("band"), "band")
-            right = left.select("band", F.col("node").alias("other"), F.col("component").alias("component2"), F.col("shingles").alias("shingles2"))
-            pairs = left.join(right, "band").filter("component < component2")
-        ratio = F.least("shingles", "shingles2") >= F.greatest("shingles", "shingles2") * least
-        pairs = pairs.filter(ratio).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = materialize(pairs, "pairs")
-        found = materialize(verify(pairs, texts, least), "links")
+            if rest.isEmpty():
+                break
+            pairs = fine_pairs(rest, texts, *FINE[turn - STARS], least) if turn - STARS < len(FINE) else None
+        if pairs is not None:
+            pairs = materialize(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+            found = materialize(verify(pairs, texts, least), "links")
+            release(pairs)
+        else:
+            found = materialize(rest_links(rest, texts, least), "links")
         links = found if links is None else links.unionByName(found)
-        release(pairs, apart)
         labels, old = components(links), labels
         if old is not None:
             release(old)
