@@ -179,7 +179,7 @@ def search(vectors: DataFrame, every: int, k: int = 5, scale: int = SCALE) -> Da
     runs = runs.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
     pairs = runs.join(numbered.drop("longest"), "block").select("for_block", "part", "longest", "ids", "data")
 
-    def go(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def go(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for q in left.itertuples():
             s = Search(*as_block(q.ids, q.data), shared.value, lead, k, np.frombuffer(q.least))
