@@ -58,7 +58,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         a = np.ascontiguousarray(a)
         planes = a.view(np.uint8).reshape(-1, a.itemsize).T if len(a) else a.view(np.uint8)
-        blob = zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+        blob = zstandard.ZstdCompressor(level=5).compress(planes.tobytes())
         out.append(np.array([len(blob), len(a)], "<u8").tobytes() + a.dtype.str.encode().ljust(4) + blob)
     return b"".join(out)
 
@@ -158,11 +158,14 @@ def count_words(made: DataFrame, n: int) -> DataFrame:
                 words, counts = *unpack(row.words), *unpack(row.counts)
                 yield _frame([("ask", b, row.batch_id, pack(words[at], counts[at])) for b, at in by_bucket((words % np.uint64(SPOTS)).astype(np.int64) % n, n)])
 
-    def total(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         b, got = int(key[0]), [unpack(x) for x in pdf["data"]]
         words, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         counts = np.bincount(back, np.concatenate([g[1] for g in got]).astype(float), len(words)).astype(np.int64)
-        number = np.arange(len(words), dtype=np.uint64) * np.uint64(n) + np.uint64(b)
+        # frequent words get small numbers, which pack better
+        rank = np.empty(len(words), np.uint64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(words), dtype=np.uint64)
+        number = rank * np.uint64(n) + np.uint64(b)
         rows, at = [], 0
         for batch, g in zip(pdf["batch_id"], got, strict=True):
             mine = back[at : at + len(g[0])]
@@ -221,7 +224,7 @@ def score(docs: DataFrame) -> DataFrame:
         spare = 1 / (total + types + 1)
     hot = max(HOT, int(total * SHARE))
 
-    def pairs(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def pairs(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for row in left.itertuples():
             ids, train, size, tokens, spots = (unpack(x)[0] for x in (row.docs, row.train, row.sizes, row.tokens, row.spots))
@@ -259,7 +262,7 @@ def score(docs: DataFrame) -> DataFrame:
                 rows.append(("pairs", b, row.batch_id, pack(small(number[ux]), small(count[ux]), small(run), small(number[w[at]]), small(count[w[at]]), small(learned[at]), small(many), small(doc[where]), small(times[where]))))
         return _frame(rows)
 
-    def resolve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def resolve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         b = int(key[0])
         rows = [("docs", b, r.batch_id, r.data) for r in pdf[pdf["kind"] == "docs"].itertuples()]
         asked = pdf[pdf["kind"] == "pairs"]
@@ -315,7 +318,7 @@ def score(docs: DataFrame) -> DataFrame:
         merged[r.batch_id] = merged.get(r.batch_id, 0) + unpack(bytes(r.data))[0]
     loads = spark.sparkContext.broadcast(merged)
 
-    def finish(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         log_d = np.log10(d2[1:])
         [docs_row] = pdf[pdf["kind"] == "docs"]["data"]
         ids, train, size, known, base = unpack(docs_row)
