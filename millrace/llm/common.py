@@ -30,14 +30,39 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, by: tuple[str, ...] = (), **write: str) -> DataFrame:
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; for when its results have been stored."""
+    _delete(spark, own_dir(spark))
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, by: tuple[str, ...] = (), arrow_rows: int | None = None, **write: str) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder, partitioned ``by`` columns, and read it back.
 
-    The rows survive lost executors because the files are not on any executor's own disk.
+    The rows survive lost executors because the files are not on any executor's own disk. ``arrow_rows`` bounds
+    the batches that go to Python while it runs.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**write).partitionBy(*by).parquet(path)
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    usual = spark.conf.get(ARROW_ROWS)
+    try:
+        if arrow_rows:
+            spark.conf.set(ARROW_ROWS, min(arrow_rows, int(usual)) if int(usual) > 0 else arrow_rows)
+        df.write.options(**write).partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, usual)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out
@@ -48,9 +73,7 @@ def release(*dfs: DataFrame) -> None:
     for df in dfs:
         path = getattr(df, "_millrace_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
 
 
 def remainder(key: Column, mod: int) -> Column:

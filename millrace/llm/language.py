@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import smallest
-from millrace.llm.textvec import mix, slices, text_buffers
+from millrace.llm.textvec import mix, slices, text_buffers, trim
 
 #: Hash buckets of the n-grams, and the largest sample of labelled rows that the classifiers are fitted on.
 BUCKETS, SAMPLE = 1 << 14, 2000
@@ -206,5 +206,6 @@ def identify(docs: DataFrame, model: Model, keep_text: bool = True, added: tuple
             pred = pa.array([m.languages[b] if n else "und" for b, n in zip(best, letters, strict=True)], pa.string())
             none = letters == 0
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pred, pa.array(np.where(none, 0.0, score)), pa.array(near | none)], [*names, *added])
+            trim()
 
     return docs.select(*(f"`{n}`" for n in dict.fromkeys([*names, "text"]))).mapInArrow(run, ddl)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import SHINGLE, SIMILARITY, materialize, release, text_key
 from millrace.llm.graph import components
-from millrace.llm.textvec import counted, lowered, mix, shingles, slices, span_hashes, text_buffers, word_spans
+from millrace.llm.textvec import counted, lowered, mix, shingles, slices, span_hashes, text_buffers, trim, word_spans
 
 #: A pair at similarity 0.8 is missed by all bands with probability (1 - 0.8^6)^32, about 6 in 100,000.
 BANDS, DEPTH = 32, 6
@@ -47,6 +47,8 @@ STARS = 2
 FINE = ((24, 200), (20, 200), (16, 200))
 #: Texts of a block, and columns of one product.
 TILE, WIDTH = 256, 4096
+#: Rows of a batch that goes to Python, which bounds the shingles held at once.
+ROWS = 1000
 SEED = np.uint64(0x5851F42D4C957F2D)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,9 +135,10 @@ def sketch(docs: DataFrame) -> DataFrame:
                     z = min(j - i, a + 1000)
                     lo, hi = np.searchsorted(r, [a, z])
                     made = bands(signatures(k[lo:hi], r[lo:hi] - a, w[lo:hi], z - a))
-                    keys += [made[x].tolist() if size[a + x] else [] for x in range(z - a)]
+                    keys += [made[x] if size[a + x] else made[x][:0] for x in range(z - a)]
                 sizes += size.tolist()
             yield pa.RecordBatch.from_arrays([batch["text_key"], batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["text_key", "doc_id", "shingles", "bands"])
+            trim()
 
     rows = docs.select(text_key(F.col("text")).alias("text_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "text_key string, doc_id long, shingles long, bands array<long>")
@@ -166,6 +169,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> Dat
                 sides.append(bags)
             keep = pa.array([_overlap(x, y) >= least for x, y in zip(*sides, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(keep)
+            trim()
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -195,8 +199,9 @@ def fine_pairs(rest: DataFrame, texts: DataFrame, depth: int, count: int, least:
                 keys += list(subset_keys(signatures(k, r, w, j - i), depth, count))
                 sizes += np.bincount(r, w, j - i).astype(np.int64).tolist()
             yield pa.RecordBatch.from_arrays([batch["node"], batch["component"], pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "component", "shingles", "keys"])
+            trim()
 
-    made = materialize(rest.join(texts, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, shingles long, keys array<long>"), "fine")
+    made = materialize(rest.join(texts, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, shingles long, keys array<long>"), "fine", arrow_rows=ROWS)
     rows = made.select("node", "component", "shingles", F.explode("keys").alias("key"))
     return star_pairs(rows, "key", depth, least)
 
@@ -251,8 +256,9 @@ def rest_links(rest: DataFrame, texts: DataFrame, least: float = SIMILARITY) ->
                 edges = np.r_[0, np.cumsum(np.bincount(r, w, j - i).astype(np.int64))]
                 tokens += [numbered[a:z] for a, z in itertools.pairwise(edges)]
             yield pa.RecordBatch.from_arrays([batch["node"], batch["component"], pa.array(tokens, pa.list_(pa.int64()))], ["node", "component", "tokens"])
+            trim()
 
-    made = materialize(rest.join(texts, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, tokens array<long>"), "tokens")
+    made = materialize(rest.join(texts, "node").select("node", "component", "text").mapInArrow(run, "node long, component long, tokens array<long>"), "tokens", arrow_rows=ROWS)
     rows = made.select("node", "component", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     # a token that no second component has cannot lead to a link, but takes its place in the order
     often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("often"), (F.min("component") < F.max("component")).alias("apart")).filter("often > 1")
@@ -285,7 +291,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     ``representative`` marks one row per text of the class's smallest key; repeated rows are all marked.
     """
-    rows = materialize(sketch(docs), "sketches")
+    rows = materialize(sketch(docs), "sketches", arrow_rows=ROWS)
     copies = rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
     # a text is known by a 64-bit number made from its key
     nodes = materialize(copies.select(F.xxhash64("text_key").alias("node"), "text_key", "first_id", "shingles", "bands"), "texts")
@@ -298,6 +304,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     texts = materialize(source.select("node", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["node"]), "candidates")
     links = None
     labels = None
+    done = [members, texts, nodes]
     rest = None
     for turn in range(STARS + len(FINE) + 1):
         now = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -312,11 +319,12 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             pairs = fine_pairs(rest, texts, *FINE[turn - STARS], least) if turn - STARS < len(FINE) else None
         if pairs is not None:
             pairs = materialize(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
-            found = materialize(verify(pairs, texts, least), "links")
+            found = materialize(verify(pairs, texts, least), "links", arrow_rows=ROWS)
             release(pairs)
         else:
             found = materialize(rest_links(rest, texts, least), "links")
         links = found if links is None else links.unionByName(found)
+        done.append(found)
         labels, old = components(links), labels
         if old is not None:
             release(old)
@@ -327,5 +335,6 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         named = named.withColumn("component", F.col("node"))
     names = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.min_by("text_key", F.struct(F.col("first_id").isNull(), "first_id", "text_key")).alias("kept_key"))
     named = materialize(named.join(names, "component").select("text_key", "class_id", "first_id", (F.col("text_key") == F.col("kept_key")).alias("kept")), "classes")
+    release(*done, *([labels] if labels is not None else []))
     out = rows.select("text_key", "doc_id").join(named, "text_key")
     return out.select("doc_id", "class_id", "text_key", (F.col("kept") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("representative"))

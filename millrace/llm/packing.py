@@ -25,16 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.textvec import slices, spaced, span_hashes, text_buffers
+from millrace.llm.textvec import slices, spaced, span_hashes, text_buffers, trim
 
 CAPACITY, END = 4096, 1
 #: Pieces of one group, packed by one task.
 GROUP = 40_000
 #: Entries of a worker's caches of words and of their pieces, which start afresh when full.
-CACHED = 500_000
+CACHED = 250_000
 
 #: Bytes of text whose words are looked up together.
-SLICE = 8 << 20
+SLICE = 6 << 20
+
+#: Rows of a batch that goes to Python.
+ROWS = 2000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -156,6 +159,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
@@ -209,4 +213,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
     """Tokenize, cut and pack documents: the columns of ``tokenize`` with sequence_id and offset."""
     from millrace.llm.common import materialize
 
-    return pack(materialize(tokenize(docs, tokenizer, capacity), "pieces"), capacity)
+    return pack(materialize(tokenize(docs, tokenizer, capacity), "pieces", arrow_rows=ROWS), capacity)

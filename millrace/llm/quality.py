@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import smallest
-from millrace.llm.textvec import counted, lowered, mix, slices, spaced, span_hashes, text_buffers
+from millrace.llm.textvec import counted, lowered, mix, slices, spaced, span_hashes, text_buffers, trim
 
 #: Hash buckets, latent dimensions, the largest labelled sample, neighbours that vote, rows of a block.
 TERMS, RANK, SAMPLE, NEIGHBOURS, BLOCK = 4096, 48, 3000, 25, 2048
@@ -157,5 +157,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = m.score(m.embed(*text_buffers(batch["text"])))
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(found)], [*names, "score"])
+            trim()
 
     return docs.select(*(f"`{n}`" for n in names), "text").mapInArrow(run, ddl)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,6 +23,19 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, np.uint64))
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def trim() -> None:
+    """Give freed memory back to the system, so that a long-lived worker is no larger than its last batch."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -504,3 +504,13 @@ def test_held_out_rule(spark):
     df = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "k long")
     for r in df.select("k", remainder(F.col("k"), 7).alias("m"), held_out(F.col("k"), 7).alias("h")).collect():
         assert (r.m, r.h) == ((None, False) if r.k is None else (zlib.crc32(str(r.k).encode()) % 7, zlib.crc32(str(r.k).encode()) % 7 == 2))
+
+
+def test_purge(spark):
+    from millrace.llm import common
+
+    df = common.materialize(frame(spark, [(1, "a")]), "t", arrow_rows=10)
+    assert df.count() == 1 and spark.conf.get(common.ARROW_ROWS) == "10000"
+    common.purge(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|No such file"):
+        spark.read.parquet(df._millrace_path).count()
