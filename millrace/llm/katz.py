@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, partitions, release
-from millrace.llm.textvec import lowered, mix, slices, spaced, span_hashes, text_buffers
+from millrace.llm.textvec import lowered, mix, slices, spaced, span_hashes, text_buffers, trim
 
 #: Counts up to K are discounted. Bytes of text in a batch. Word entries and tokens that a bucket may take.
-K, BATCH, WORDS, PAIRS = 5, 12 << 20, 3_000_000, 6_000_000
+K, BATCH, WORDS, PAIRS = 5, 12 << 20, 1_500_000, 1_500_000
 #: A history is spread over buckets from this many tokens, and from this share of all tokens on.
 HOT, SHARE = 1 << 20, 1e-4
 #: Parts of the words' hash range; the most word buckets there can be.
@@ -133,6 +133,7 @@ def batches(docs: DataFrame, n: int) -> DataFrame:
                 names = [x.split()[0] for x in BATCHES.split(", ")]
                 kinds = [pa.int64()] + [pa.binary()] * 7 + [pa.int64()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
+                trim()
 
     return docs.select("doc_id", "train", "text").mapInArrow(run, BATCHES)
 
@@ -304,6 +305,7 @@ def score(docs: DataFrame) -> DataFrame:
             used, which = np.unique(at_hist, return_inverse=True)
             rows.append(("part", b, batch, pack(small(found), total_term.astype("<f4"), *low, small(doc[miss]), small(times[miss]), small(which), small(names[used]), small(of_hist[used]), *(small(sums[used, r].astype(np.int64)) for r in range(K + 1)), sums[used, K + 1])))
             at = z
+        trim()
         return _frame(rows)
 
     replied = replies.filter("kind = 'reply'").select("batch_id", "bucket", "data")
