@@ -1,8 +1,10 @@
 """Benchmark decontamination by SimHash windows, in DataFrame functions only.
 
-Benchmark items and documents are words and five-word shingles (hashes). A window is as long as an item. Since
-a window that is similar enough must share a shingle with its item, windows are laid only where one does, at
-the place that this shingle has in the item; documents without any such shingle drop out in the scan. Each
+Benchmark items and documents are words and five-word shingles (hashes). A window is as long as an item, or
+what of it lies in the text. A window can start anywhere; it is laid where it covers so many shingles of items of
+its length that it can be similar enough, so no window that is gets lost, whatever the order of an item's parts.
+Documents without any shingle of an item drop out in the scan. A match is reported at the best of the windows in
+which a shingle stands at its own place in an item, and where none of them is similar enough at the best of all. Each
 window and each item gets a 64-bit SimHash of its shingles, weighted by their counts. Fingerprints are cut
 into ``RADIUS`` + 1 blocks: two within the radius agree in a block, so an equi-join on (item length, block
 number, block bits) finds every pair within it. Pairs within the radius are verified by the exact weighted
@@ -17,6 +19,7 @@ equal matches. Empty tables give no matches. Other columns are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import SHINGLE, SIMILARITY, let, materialize, words
@@ -73,6 +76,28 @@ def benchmark_items(benchmark: DataFrame, part: int = PART) -> DataFrame:
     return fingerprint(w.select("item_id", F.size("w").alias("m"), shingle_hashes(F.col("w")).alias("shingles")), "shingles", "mark")
 
 
+def laid(held: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """(key, m, start) of every window that can reach ``least``: held (key, shingles), counts (m, shingle, most).
+
+    A window shares at most ``most`` of each shingle with an item of ``m`` words. So the occurrence of a shingle at
+    p counts for the starts from p - n + 1 to p, and not for those that also cover ``most`` earlier ones. The sum
+    over occurrences, taken at the starts where it changes, bounds what a window and an item have in common.
+    """
+    n, near = F.greatest(F.col("m") - SHINGLE + 1, F.lit(1)), 1e-6
+    hits = held.select("key", F.size("shingles").alias("len"), F.posexplode("shingles").alias("at", "shingle")).join(counts, "shingle")
+    runs = hits.groupBy("key", "len", "m", "shingle", "most").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    spans = F.transform("at", lambda p, j: F.struct(F.greatest(p - n + 1, F.get("at", j - F.col("most")) + 1).alias("a"), (p + 1).alias("z")))
+    spans = runs.select("key", "len", "m", spans.alias("spans")).groupBy("key", "len", "m").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    steps = spans.filter(F.size("spans") >= least * n - near).select("key", "len", "m", F.explode("spans").alias("s"))
+    steps = steps.select("key", "len", "m", F.explode(F.array(F.struct(F.col("s.a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("s.z").alias("at"), F.lit(-1).alias("d")))).alias("s"))
+    steps = steps.groupBy("key", "len", "m", "s.at").agg(F.sum("s.d").alias("d"))
+    w = W.partitionBy("key", "len", "m").orderBy("at")
+    level = steps.select("key", "len", "m", "at", F.sum("d").over(w).alias("common"), F.lead("at").over(w).alias("next")).filter(F.col("common") >= least * n - near)
+    starts = level.select("key", "len", "m", "common", F.explode(F.sequence("at", F.col("next") - 1)).alias("start"))
+    size = F.least(F.col("start") + n, F.col("len")) - F.greatest("start", F.lit(0))
+    return starts.filter(F.col("common") * (1 + least) >= least * (size + n) - near).select("key", "m", "start")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(key, doc_id, item_id, similarity, first_word): the best window of each document and item that match.
 
@@ -93,18 +118,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, ra
         holders = rows.select("key", F.explode("shingles").alias("shingle")).join(small(index.select("shingle").distinct()), "shingle", "left_semi").select("key").distinct()
         held = rows.join(materialize(holders, "holders"), "key", "left_semi")
     held = materialize(held.dropDuplicates(["key"]), "held")
-    starts = held.select("key", F.posexplode("shingles").alias("at", "shingle")).join(small(index), "shingle").select("key", (F.col("at") - F.col("offset")).alias("start"), "m").distinct()
-    places = materialize(starts.groupBy("key").agg(F.collect_list(F.struct("start", "m")).alias("places")), "places")
+    counts = items.select("part", "m", F.explode("shingles").alias("shingle")).groupBy("part", "m", "shingle").count().groupBy("m", "shingle").agg(F.max("count").cast("int").alias("most"))
+    starts = materialize(laid(held, small(counts), least), "starts")
+    in_place = held.join(starts.select("key").distinct(), "key", "left_semi").select("key", F.posexplode("shingles").alias("at", "shingle")).join(small(index), "shingle").select("key", "m", (F.col("at") - F.col("offset")).alias("start")).distinct()
+    starts = starts.join(in_place.withColumn("in_place", F.lit(1)), ["key", "m", "start"], "left")
+    places = materialize(starts.groupBy("key").agg(F.collect_list(F.struct("start", "m", F.coalesce("in_place", F.lit(0)).alias("in_place"))).alias("places")), "places")
     count = lambda p: F.greatest(p["m"] - SHINGLE + 1, F.lit(1)) + F.least(p["start"], F.lit(0))
-    cut = held.join(places, "key").select("key", "doc_id", F.explode(F.filter(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["m"].alias("m"), F.slice("shingles", F.greatest(p["start"], F.lit(0)) + 1, F.greatest(count(p), F.lit(0))).alias("window"))), lambda p: F.size(p["window"]) > 0)).alias("p"))
-    windows = fingerprint(cut.select("key", "doc_id", "p.start", "p.m", "p.window"), "window", "near")
+    cut = held.join(places, "key").select("key", "doc_id", F.explode(F.filter(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["m"].alias("m"), p["in_place"].alias("in_place"), F.slice("shingles", F.greatest(p["start"], F.lit(0)) + 1, F.greatest(count(p), F.lit(0))).alias("window"))), lambda p: F.size(p["window"]) > 0)).alias("p"))
+    windows = fingerprint(cut.select("key", "doc_id", "p.start", "p.m", "p.in_place", "p.window"), "window", "near")
     windows = materialize(windows, "windows")
-    left = windows.select("key", "start", "m", "near", F.explode(blocks(F.col("near"), radius)).alias("b"))
+    left = windows.select("key", "start", "m", "in_place", "near", F.explode(blocks(F.col("near"), radius)).alias("b"))
     right = items.select("part", "m", "mark", F.explode(blocks(F.col("mark"), radius)).alias("b"))
-    pairs = left.join(small(right), ["m", "b"]).filter(F.bit_count(F.col("near").bitwiseXOR(F.col("mark"))) <= radius).select("key", "start", "m", "part").distinct()
-    full = pairs.join(windows, ["key", "start", "m"]).join(small(items.select("part", "item_id", "shingles")), "part")
-    found = full.withColumn("similarity", similarity(F.col("window"), F.col("shingles"))).filter(F.col("similarity") >= least)
-    best = F.max_by(F.struct("similarity", "start"), F.struct("similarity", -F.col("start"))).alias("b")
+    pairs = left.join(small(right), ["m", "b"]).filter(F.bit_count(F.col("near").bitwiseXOR(F.col("mark"))) <= radius).select("key", "start", "m", "in_place", "part").distinct()
+    pairs = materialize(pairs.join(small(items.select("part", "item_id")), "part"), "pairs")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(windows.drop("in_place"), ["key", "start", "m"]).join(small(items.select("part", "shingles")), "part")
+        return full.withColumn("similarity", similarity(F.col("window"), F.col("shingles"))).filter(F.col("similarity") >= least).select("key", "doc_id", "item_id", "start", "in_place", "similarity")
+
+    # the many windows around a match in place are compared only where there is none
+    first = materialize(alike(pairs.filter("in_place = 1")), "first")
+    found = first.unionByName(alike(pairs.filter("in_place = 0").join(first.select("key", "item_id").distinct(), ["key", "item_id"], "left_anti")))
+    best = F.max_by(F.struct("similarity", "start"), F.struct("in_place", "similarity", -F.col("start"))).alias("b")
     return found.groupBy("key", "doc_id", "item_id").agg(best).select("key", "doc_id", "item_id", "b.similarity", F.greatest("b.start", F.lit(0)).alias("first_word"))
 
 

@@ -230,6 +230,30 @@ def test_decontamination(spark):
     assert decontamination.matches(frame(spark, []), frame(spark, items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_any_order(spark):
+    items = [(1, prose(60, 510)), (2, prose(45, 511)), (3, "la " * 20 + prose(20, 512))]
+    one, two, three = (i[1].split() for i in items)
+    mid = prose(8, 601).split()
+    texts = [one[30:] + one[:30], one[20:] + one[:20], two[15:30] + two[:15] + two[30:], three[20:] + three[:20], ["la"] * 60, one[40:] + one[:20]]
+    rows = [(k, " ".join(t)) for k, t in enumerate([*(mid + t + mid for t in texts), *texts, one, mid + one, two[1:]])]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.matches(frame(spark, rows), frame(spark, items, "item_id long, text string"), radius=63).collect()}
+    want = {}
+    for d, t in rows:
+        w = t.split()
+        for i, item in items:
+            b, m = shingle_bag(item), len(item.split())
+            size = len(w) - 4
+            laid = [s for s in range(-m + 5, size) if min(s + m - 4, size) > max(s, 0)]
+            best = max(jaccard(shingle_bag(" ".join(w[max(s, 0) : s + m])), b) for s in laid)
+            if best >= 0.8:
+                want[d, i] = best
+    assert {(0, 1), (1, 1)} <= set(want) and set(got) == set(want)
+    assert got[0, 1] == pytest.approx(want[0, 1]) and got[1, 1] == pytest.approx(want[1, 1])
+    usual = {(r.doc_id, r.item_id) for r in decontamination.matches(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()}
+    assert {(0, 1), (1, 1)} <= usual
+    assert not {0, 1} & {r.doc_id for r in decontamination.clean(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()}
+
+
 def test_decontamination_large_index(spark, monkeypatch):
     items, rows = [(1, prose(30, 500))], [(1, prose(30, 500) + " x"), (2, prose(70, 9))]
     monkeypatch.setattr(decontamination, "LITERAL", 0)
