@@ -413,7 +413,7 @@ def first_chunks(spark, d):
 SELECT p.event_id, coalesce(arg_min(n.id::VARCHAR, (n.e - n.s, n.id::VARCHAR)), sha256(p.file_path)) AS source_id FROM p LEFT JOIN n ON n.file_path = p.file_path AND p.pos BETWEEN n.s AND n.e GROUP BY p.event_id, p.file_path""")
 def enclosing_nodes(spark, d):
     n = read(spark, d, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").cast("string").alias("id"), ((F.col("doc_id") * 37) % 9000).alias("start"), ((F.col("doc_id") * 37) % 9000 + F.col("n_chars")).alias("end"))
-    p = read(spark, d, "events").filter("event_id < 2000").select("event_id", F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("file_path"), ((F.col("event_id") * 13) % 12000).alias("pos"))
+    p = read(spark, d, "events").select("event_id", F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("file_path"), ((F.col("event_id") * 13) % 12000).alias("pos"))
     return graph.enclosing(p, n).select("event_id", "source_id")
 
 
