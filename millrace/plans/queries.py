@@ -68,7 +68,7 @@ def nodes(spark, d):
 def edges(spark, d):
     target = F.when(F.col("l_linenumber") == 7, F.concat(F.lit("lib_"), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("part_"), (F.col("l_partkey") % 600).cast("string")))
     kind = F.when(F.col("l_linenumber").isin(1, 2, 3), "call").when(F.col("l_linenumber").isin(4, 7), "import").when(F.col("l_linenumber") == 5, "extends").otherwise("reference")
-    return read(spark, d, "lineitem").filter("l_shipdate >= '1997-01-01'").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_id"), target.alias("target_symbol"), kind.alias("edge_type"))
+    return read(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_id"), target.alias("target_symbol"), kind.alias("edge_type"))
 
 
 GRAPH = """nodes AS (SELECT 's' || s_suppkey AS id, 'supplier_' || s_suppkey AS symbol, 'supplier' AS kind, 'nation/' || s_nationkey AS file_path FROM supplier

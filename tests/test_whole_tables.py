@@ -1,8 +1,9 @@
 """Queries over whole tables, where the registered SQL reads only a part of one."""
 
 import duckdb
+import pytest
 
-from millrace.plans.queries import QUERIES, SQL
+from millrace.plans.queries import QUERIES, SQL, edges
 from test_queries import TABLES, rows
 
 
@@ -20,3 +21,12 @@ def test_enclosing_nodes(spark):
     sf = "/root/testdata/sf0.01"
     got = same(spark, sf, "enclosing_nodes", " WHERE event_id < 2000")
     assert len(got) == spark.read.parquet(f"{sf}/events.parquet").count() > 2000
+
+
+@pytest.mark.parametrize("name", "graph_callers graph_callers_of_file graph_callees graph_dependents graph_imports graph_search delete_graph structural_keys".split())
+def test_graph(spark, sf, name):
+    same(spark, sf, name, " WHERE l_shipdate >= '1997-01-01'")
+
+
+def test_edges(spark, sf):
+    assert edges(spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
