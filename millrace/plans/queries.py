@@ -74,7 +74,7 @@ def edges(spark, d):
 GRAPH = """nodes AS (SELECT 's' || s_suppkey AS id, 'supplier_' || s_suppkey AS symbol, 'supplier' AS kind, 'nation/' || s_nationkey AS file_path FROM supplier
   UNION ALL SELECT 'p' || p_partkey, 'part_' || (p_partkey % 500), 'part', p_brand FROM part),
 edges AS (SELECT 's' || l_suppkey AS source_id, CASE WHEN l_linenumber = 7 THEN 'lib_' || l_partkey ELSE 'part_' || (l_partkey % 600) END AS target_symbol,
-  CASE WHEN l_linenumber IN (1, 2, 3) THEN 'call' WHEN l_linenumber IN (4, 7) THEN 'import' WHEN l_linenumber = 5 THEN 'extends' ELSE 'reference' END AS edge_type FROM lineitem WHERE l_shipdate >= '1997-01-01')"""
+  CASE WHEN l_linenumber IN (1, 2, 3) THEN 'call' WHEN l_linenumber IN (4, 7) THEN 'import' WHEN l_linenumber = 5 THEN 'extends' ELSE 'reference' END AS edge_type FROM lineitem)"""
 
 
 def vecs(spark, d):
@@ -409,7 +409,7 @@ def first_chunks(spark, d):
     return graph.first_chunks(n, c).select("symbol", "id", "start_line")
 
 
-@query("""WITH n AS (SELECT doc_id AS id, source AS file_path, (doc_id * 37) % 9000 AS s, (doc_id * 37) % 9000 + n_chars AS e FROM documents), p AS (SELECT event_id, 'src' || (user_id % 20) AS file_path, (event_id * 13) % 12000 AS pos FROM events WHERE event_id < 2000)
+@query("""WITH n AS (SELECT doc_id AS id, source AS file_path, (doc_id * 37) % 9000 AS s, (doc_id * 37) % 9000 + n_chars AS e FROM documents), p AS (SELECT event_id, 'src' || (user_id % 20) AS file_path, (event_id * 13) % 12000 AS pos FROM events)
 SELECT p.event_id, coalesce(arg_min(n.id::VARCHAR, (n.e - n.s, n.id::VARCHAR)), sha256(p.file_path)) AS source_id FROM p LEFT JOIN n ON n.file_path = p.file_path AND p.pos BETWEEN n.s AND n.e GROUP BY p.event_id, p.file_path""")
 def enclosing_nodes(spark, d):
     n = read(spark, d, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").cast("string").alias("id"), ((F.col("doc_id") * 37) % 9000).alias("start"), ((F.col("doc_id") * 37) % 9000 + F.col("n_chars")).alias("end"))
