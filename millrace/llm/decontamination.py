@@ -1,58 +1,58 @@
 """Benchmark decontamination by SimHash windows, in DataFrame functions only.
 
-Benchmark items and documents are words and five-word shingles (hashes). A window is as long as an item, or
-what of it lies in the text. A window can start anywhere; it is laid where it covers so many shingles of items of
-its length that it can be similar enough, so no window that is gets lost, whatever the order of an item's parts.
-Documents without any shingle of an item drop out in the scan. A match is reported at the best of the windows in
-which a shingle stands at its own place in an item, and where none of them is similar enough at the best of all. Each
-window and each item gets a 64-bit SimHash of its shingles, weighted by their counts. Fingerprints are cut
-into ``RADIUS`` + 1 blocks: two within the radius agree in a block, so an equi-join on (item length, block
-number, block bits) finds every pair within it. Pairs within the radius are verified by the exact weighted
-similarity of their shingle multisets, sum of minima over sum of maxima.
-
-Null and empty texts and items have no shingles and match nothing; those of one to four words have all their
-words as one shingle. Items of more than ``PART`` words are split into parts that count for the item. Texts are
-taken whole. Rows with equal doc_id and text share their matches, null ids among them; repeated items give
-equal matches. Empty tables give no matches. Other columns are ignored.
+Benchmark items and documents are words and shingles (hashes) of five words; items of one to four words have one
+shingle of all their words, looked for among the documents' runs of as many words. A window is as long as an item,
+or what of it lies in the text, and can start at any word.
+
+Documents without any shingle of an item drop out in the scan. In the others, windows of an item's length are laid at
+every start from which they cover so many places with shingles of that item that the similarity is within reach. No
+window that is similar enough is left out, whatever the order of an item's parts. Each window and each item gets a
+64-bit SimHash of its shingles, weighted by their counts. Fingerprints are cut into ``RADIUS`` + 1 blocks: two within
+the radius agree in a block, so an equi-join on (item, block number, block bits) finds every window within it.
+Those are verified by the exact weighted similarity of their shingle multisets, sum of minima over sum of maxima. A
+match is reported at the best window of a document and an item, the first of equal ones.
+
+Case is folded for all letters (``common.lowered``). Null and empty texts and items have no shingles and match
+nothing. Items and texts are taken whole. Rows with equal doc_id and text share their matches, null ids among them;
+repeated items give equal matches. Empty tables give no matches. Other columns are ignored. A document costs its
+length, and what its windows hold on top; only one with an item over and over has a window at nearly every word.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SHINGLE, SIMILARITY, let, materialize, words
+from millrace.llm.common import SHINGLE, SIMILARITY, let, materialize, release, words
 
-#: At similarity 0.8 a pair lies beyond this Hamming distance about once in 20,000 times.
-RADIUS, PART = 20, 2000
+#: At similarity 0.8 about 9.7 of the 64 bits differ, with a deviation of 2.9: beyond 24 lies a pair in two million.
+RADIUS = 24
 #: The most benchmark shingles that the document scan takes as a literal set, and that a join broadcasts.
 LITERAL, BROADCAST = 20_000, 1_000_000
 
 
 def shingle_hashes(w: Column, size: int = SHINGLE) -> Column:
-    """Hashes of each ``size`` successive words; one of all words where there are fewer."""
-    whole = F.when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of each ``size`` successive words; none where there are fewer."""
     runs = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size))))
-    return F.when(F.size(w) < size, whole).otherwise(runs)
+    return F.when(F.size(w) >= size, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def fingerprint(df: DataFrame, column: str, name: str) -> DataFrame:
     """Add the 64-bit SimHash of an array of hashes: bit b is set where most of them have it set.
 
-    Lane l counts the bits l, l + 16, l + 32 and l + 48 at once, 16 bits each; arrays have under 32,768 hashes.
+    Lane l counts the bits l and l + 32 at once, 32 bits each.
     """
-    mask = 0x0001000100010001
+    mask = 0x0000000100000001
     add = lambda s: lambda a, x: a + F.shiftrightunsigned(x, s).bitwiseAND(F.lit(mask))
-    lanes = [F.aggregate(column, F.lit(0).cast("long"), add(s)).alias(f"_l{s}") for s in range(16)]
+    lanes = [F.aggregate(column, F.lit(0).cast("long"), add(s)).alias(f"_l{s}") for s in range(32)]
     df = df.select("*", *lanes)
     bits = []
     for b in range(64):
-        count = F.shiftrightunsigned(f"_l{b % 16}", b - b % 16).bitwiseAND(F.lit(0xFFFF))
+        count = F.shiftrightunsigned(f"_l{b % 32}", b - b % 32).bitwiseAND(F.lit(0xFFFFFFFF))
         bits.append(F.when(count * 2 > F.size(column), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")))
     while len(bits) > 1:
         bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2], strict=True)]
-    return df.withColumn(name, bits[0]).drop(*(f"_l{s}" for s in range(16)))
+    return df.withColumn(name, bits[0]).drop(*(f"_l{s}" for s in range(32)))
 
 
 def blocks(mark: Column, radius: int = RADIUS) -> Column:
@@ -61,41 +61,56 @@ def blocks(mark: Column, radius: int = RADIUS) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(mark, a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("v")) for i, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Sum of minima over sum of maxima of two multisets given as arrays."""
+def similarity(a: Column, b: Column, plain: Column) -> Column:
+    """Sum of minima over sum of maxima of two multisets given as arrays; ``plain``: b repeats nothing."""
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    common = F.array_intersect(a, b)
+    both = F.when(plain, F.size(common)).otherwise(F.aggregate(common, F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x))))
     return both / (F.size(a) + F.size(b) - both)
 
 
-def benchmark_items(benchmark: DataFrame, part: int = PART) -> DataFrame:
-    """(item_id, m, shingles, mark) of each item or part of one."""
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item, k, n, plain, shingles, mark) of each item with words; ``item`` is equal for equal words."""
     w = benchmark.select(F.col("item_id").alias("item_id"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / part).cast("int")), lambda i: F.slice("w", i * part + 1, part))
-    w = w.select("item_id", F.explode(parts).alias("w"))
-    return fingerprint(w.select("item_id", F.size("w").alias("m"), shingle_hashes(F.col("w")).alias("shingles")), "shingles", "mark")
+    made = shingle_hashes(F.col("w"))
+    for k in range(1, SHINGLE):
+        made = F.when(F.size("w") == k, shingle_hashes(F.col("w"), k)).otherwise(made)
+    rows = w.select("item_id", F.md5(F.array_join("w", " ").cast("binary")).alias("item"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), made.alias("shingles"))
+    rows = rows.withColumn("n", F.size("shingles")).withColumn("plain", F.size(F.array_distinct("shingles")) == F.col("n"))
+    return fingerprint(rows, "shingles", "mark")
+
+
+def holders(docs: DataFrame, index: DataFrame, k: int, n: int) -> DataFrame:
+    """(key, doc_id, k, shingles) of the documents with any of the ``n`` shingles of ``k`` words in ``index``."""
+    made = let(words(F.col("text")), lambda w: shingle_hashes(w, k))
+    known = index.filter(F.col("k") == k).select("shingle").distinct()
+    if n <= LITERAL:
+        literals = [r.shingle for r in known.collect()]
+        # a generator instead of a filter, which would be moved below and computed twice
+        some = F.filter(F.array(made), lambda s: F.exists(s, lambda x: x.isin(literals)))
+        return docs.select(row_key().alias("key"), "doc_id", F.lit(k).alias("k"), F.explode(some).alias("shingles"))
+    rows = docs.select(row_key().alias("key"), "doc_id", F.lit(k).alias("k"), made.alias("shingles"))
+    some = rows.select("key", F.explode("shingles").alias("shingle")).join(F.broadcast(known) if n <= BROADCAST else known, "shingle", "left_semi")
+    return rows.join(some.select("key").distinct(), "key", "left_semi")
 
 
-def laid(held: DataFrame, counts: DataFrame, least: float) -> DataFrame:
-    """(key, m, start) of every window that can reach ``least``: held (key, shingles), counts (m, shingle, most).
+def starts(at: Column, n: Column, length: Column, least: float) -> Column:
+    """Every start of a window of ``n`` shingles that covers enough of the places ``at`` (ascending).
 
-    A window shares at most ``most`` of each shingle with an item of ``m`` words. So the occurrence of a shingle at
-    p counts for the starts from p - n + 1 to p, and not for those that also cover ``most`` earlier ones. The sum
-    over occurrences, taken at the starts where it changes, bounds what a window and an item have in common.
+    A whole window needs 2s / (1 + s) of n for similarity s, one that the text's edge cuts at least s of n. Places i
+    to i + c - 1 lie in the windows that start from at[i + c - 1] - n + 1 to at[i], so all these runs together are the
+    starts with c places or more.
     """
-    n, near = F.greatest(F.col("m") - SHINGLE + 1, F.lit(1)), 1e-6
-    hits = held.select("key", F.size("shingles").alias("len"), F.posexplode("shingles").alias("at", "shingle")).join(counts, "shingle")
-    runs = hits.groupBy("key", "len", "m", "shingle", "most").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    spans = F.transform("at", lambda p, j: F.struct(F.greatest(p - n + 1, F.get("at", j - F.col("most")) + 1).alias("a"), (p + 1).alias("z")))
-    spans = runs.select("key", "len", "m", spans.alias("spans")).groupBy("key", "len", "m").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    steps = spans.filter(F.size("spans") >= least * n - near).select("key", "len", "m", F.explode("spans").alias("s"))
-    steps = steps.select("key", "len", "m", F.explode(F.array(F.struct(F.col("s.a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("s.z").alias("at"), F.lit(-1).alias("d")))).alias("s"))
-    steps = steps.groupBy("key", "len", "m", "s.at").agg(F.sum("s.d").alias("d"))
-    w = W.partitionBy("key", "len", "m").orderBy("at")
-    level = steps.select("key", "len", "m", "at", F.sum("d").over(w).alias("common"), F.lead("at").over(w).alias("next")).filter(F.col("common") >= least * n - near)
-    starts = level.select("key", "len", "m", "common", F.explode(F.sequence("at", F.col("next") - 1)).alias("start"))
-    size = F.least(F.col("start") + n, F.col("len")) - F.greatest("start", F.lit(0))
-    return starts.filter(F.col("common") * (1 + least) >= least * (size + n) - near).select("key", "m", "start")
+
+    def covering(share: float, fits) -> Column:
+        c = F.ceil(F.lit(share) * n - 1e-6).cast("int")
+        first = F.when(F.size(at) >= c, F.sequence(F.lit(0), F.size(at) - c)).otherwise(F.array().cast("array<int>"))
+        near = F.filter(first, lambda i: F.get(at, i + c - 1) - F.get(at, i) < n)
+        runs = F.transform(near, lambda i: F.sequence(F.get(at, i + c - 1) - n + 1, F.get(at, i)))
+        return F.filter(F.array_distinct(F.flatten(runs)), fits)
+
+    whole = covering(2 * least / (1 + least), lambda s: (s >= 0) & (s <= length - n))
+    return F.concat(whole, covering(least, lambda s: (s < 0) | (s > length - n)))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -103,51 +118,42 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, ra
 
     ``key`` identifies a (doc_id, text); ``row_key`` computes it.
     """
-    items = materialize(benchmark_items(benchmark).withColumn("part", F.xxhash64("item_id", "shingles")).dropDuplicates(["part"]), "items")
-    index = items.select("m", F.posexplode("shingles").alias("offset", "shingle")).distinct()
-    n = index.count()
-    small = F.broadcast if n <= BROADCAST else lambda df: df
-    made = let(words(F.col("text")), lambda w: shingle_hashes(w))
-    if n <= LITERAL:
-        known = [r.shingle for r in index.select("shingle").distinct().collect()]
-        # a generator instead of a filter, which would be moved below and computed twice
-        some = F.filter(F.array(made), lambda s: F.exists(s, lambda x: x.isin(known))) if known else F.array().cast("array<array<bigint>>")
-        held = docs.select(row_key().alias("key"), "doc_id", F.explode(some).alias("shingles"))
-    else:
-        rows = docs.select(row_key().alias("key"), "doc_id", made.alias("shingles"))
-        holders = rows.select("key", F.explode("shingles").alias("shingle")).join(small(index.select("shingle").distinct()), "shingle", "left_semi").select("key").distinct()
-        held = rows.join(materialize(holders, "holders"), "key", "left_semi")
-    held = materialize(held.dropDuplicates(["key"]), "held")
-    counts = items.select("part", "m", F.explode("shingles").alias("shingle")).groupBy("part", "m", "shingle").count().groupBy("m", "shingle").agg(F.max("count").cast("int").alias("most"))
-    starts = materialize(laid(held, small(counts), least), "starts")
-    in_place = held.join(starts.select("key").distinct(), "key", "left_semi").select("key", F.posexplode("shingles").alias("at", "shingle")).join(small(index), "shingle").select("key", "m", (F.col("at") - F.col("offset")).alias("start")).distinct()
-    starts = starts.join(in_place.withColumn("in_place", F.lit(1)), ["key", "m", "start"], "left")
-    places = materialize(starts.groupBy("key").agg(F.collect_list(F.struct("start", "m", F.coalesce("in_place", F.lit(0)).alias("in_place"))).alias("places")), "places")
-    count = lambda p: F.greatest(p["m"] - SHINGLE + 1, F.lit(1)) + F.least(p["start"], F.lit(0))
-    cut = held.join(places, "key").select("key", "doc_id", F.explode(F.filter(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["m"].alias("m"), p["in_place"].alias("in_place"), F.slice("shingles", F.greatest(p["start"], F.lit(0)) + 1, F.greatest(count(p), F.lit(0))).alias("window"))), lambda p: F.size(p["window"]) > 0)).alias("p"))
-    windows = fingerprint(cut.select("key", "doc_id", "p.start", "p.m", "p.in_place", "p.window"), "window", "near")
-    windows = materialize(windows, "windows")
-    left = windows.select("key", "start", "m", "in_place", "near", F.explode(blocks(F.col("near"), radius)).alias("b"))
-    right = items.select("part", "m", "mark", F.explode(blocks(F.col("mark"), radius)).alias("b"))
-    pairs = left.join(small(right), ["m", "b"]).filter(F.bit_count(F.col("near").bitwiseXOR(F.col("mark"))) <= radius).select("key", "start", "m", "in_place", "part").distinct()
-    pairs = materialize(pairs.join(small(items.select("part", "item_id")), "part"), "pairs")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(windows.drop("in_place"), ["key", "start", "m"]).join(small(items.select("part", "shingles")), "part")
-        return full.withColumn("similarity", similarity(F.col("window"), F.col("shingles"))).filter(F.col("similarity") >= least).select("key", "doc_id", "item_id", "start", "in_place", "similarity")
-
-    # the many windows around a match in place are compared only where there is none
-    first = materialize(alike(pairs.filter("in_place = 1")), "first")
-    found = first.unionByName(alike(pairs.filter("in_place = 0").join(first.select("key", "item_id").distinct(), ["key", "item_id"], "left_anti")))
-    best = F.max_by(F.struct("similarity", "start"), F.struct("in_place", "similarity", -F.col("start"))).alias("b")
-    return found.groupBy("key", "doc_id", "item_id").agg(best).select("key", "doc_id", "item_id", "b.similarity", F.greatest("b.start", F.lit(0)).alias("first_word"))
+    named = materialize(benchmark_items(benchmark), "items")
+    items = named.drop("item_id").dropDuplicates(["item"])
+    index = items.select("item", "k", "n", F.explode("shingles").alias("shingle")).distinct()
+    sizes = {r.k: r.n for r in index.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most SHINGLE rows
+    small = F.broadcast if sum(sizes.values()) <= BROADCAST else lambda df: df
+    kinds = [holders(docs, index, k, n) for k, n in sorted(sizes.items())] or [holders(docs.limit(0), index, SHINGLE, 0)]
+    held = kinds[0]
+    for more in kinds[1:]:
+        held = held.unionByName(more)
+    held = materialize(held.dropDuplicates(["key", "k"]), "held")
+
+    hits = held.select("key", "k", F.size("shingles").alias("length"), F.posexplode("shingles").alias("at", "shingle")).join(small(index), ["k", "shingle"])
+    spots = hits.groupBy("key", "k", "item", "n", "length").agg(F.collect_list("at").alias("at")).filter(F.size("at") >= F.lit(least) * F.col("n") - 1e-6)
+    laid = spots.select("key", "k", "item", "n", F.explode(starts(F.array_sort("at"), F.col("n"), F.col("length"), least)).alias("start"))
+    edge = F.greatest("start", F.lit(0))
+    cut = held.join(laid, ["key", "k"]).select("key", "doc_id", "item", "start", F.slice("shingles", edge + 1, F.least(F.col("start") + F.col("n"), F.size("shingles")) - edge).alias("window"))
+    windows = materialize(fingerprint(cut, "window", "near"), "windows")
+
+    left = windows.select("key", "item", "start", "near", F.explode(blocks(F.col("near"), radius)).alias("b"))
+    right = items.select("item", "mark", F.explode(blocks(F.col("mark"), radius)).alias("b"))
+    near = left.join(small(right), ["item", "b"]).filter(F.bit_count(F.col("near").bitwiseXOR(F.col("mark"))) <= radius).select("key", "item", "start").distinct()
+    full = near.join(windows, ["key", "item", "start"]).join(small(items.select("item", "shingles", "plain")), "item")
+    found = full.withColumn("similarity", similarity(F.col("window"), F.col("shingles"), F.col("plain"))).filter(F.col("similarity") >= least)
+    best = found.groupBy("key", "doc_id", "item").agg(F.max_by(F.struct("similarity", "start"), F.struct("similarity", -F.col("start"))).alias("b"))
+    out = best.join(small(named.select("item", "item_id").distinct()), "item")
+    out = materialize(out.select("key", "doc_id", "item_id", "b.similarity", F.greatest("b.start", F.lit(0)).alias("first_word")), "matches")
+    release(named, held, windows)
+    return out
 
 
 def row_key() -> Column:
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    """128 bits that identify a (doc_id, text); a null id differs from all others."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\0"), F.coalesce("text", F.lit(""))).cast("binary"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item; same columns."""
-    bad = materialize(matches(docs, benchmark).select("key").distinct(), "contaminated")
-    return docs.withColumn("_mr_key", row_key()).join(bad.withColumnRenamed("key", "_mr_key"), "_mr_key", "left_anti").drop("_mr_key")
+    bad = matches(docs, benchmark).select(F.col("key").alias("_mr_key")).distinct()
+    return docs.withColumn("_mr_key", row_key()).join(bad, "_mr_key", "left_anti").drop("_mr_key")

@@ -92,15 +92,16 @@ SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
 
 
-#: Every window where a shingle stands at its place in an item, compared by multisets of shingle texts.
+#: Every window of an item's length in every document that has any of its shingles, compared by multisets of shingle texts.
 LEAKS_SQL = r"""
-WITH t AS (SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
-  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') FROM benchmark),
-s AS (SELECT side, id, len(w) AS m, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS s FROM t WHERE len(w) > 0),
-e AS (SELECT side, id, m, s, unnest(s) AS x, unnest(range(0, len(s))) AS pos FROM s),
-p AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id, d.pos - i.pos AS start, i.m FROM e d JOIN e i ON d.x = i.x WHERE d.side = 'd' AND i.side = 'i'),
-a AS (SELECT p.*, d.s[greatest(start, 0) + 1:greatest(start, 0) + greatest(p.m - 4, 1) + least(start, 0)] AS a, i.s AS b FROM p JOIN s d ON d.side = 'd' AND d.id = p.doc_id JOIN s i ON i.side = 'i' AND i.id = p.item_id),
-c AS (SELECT *, coalesce(list_sum(list_transform(list_intersect(list_distinct(a), b), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) AS common FROM a),
+WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+u AS (SELECT item_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+i AS (SELECT id, least(len(w), 5) AS k, list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda x: array_to_string(w[x:x + least(len(w), 5) - 1], ' ')) AS s FROM u WHERE len(w) > 0),
+d AS (SELECT id, k, list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' ')) AS s FROM t, (SELECT DISTINCT k FROM i) WHERE len(w) >= k),
+p AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id, d.k FROM (SELECT id, k, unnest(s) AS x FROM d) d JOIN (SELECT id, k, unnest(s) AS x FROM i) i ON d.k = i.k AND d.x = i.x),
+a AS (SELECT doc_id, item_id, i.s AS b, len(i.s) AS n, d.s AS s, unnest(range(1 - len(i.s), len(d.s))) AS start FROM p JOIN d ON d.id = p.doc_id AND d.k = p.k JOIN i ON i.id = p.item_id),
+w AS (SELECT doc_id, item_id, start, b, s[greatest(start, 0) + 1:least(start + n, len(s))] AS a FROM a),
+c AS (SELECT *, coalesce(list_sum(list_transform(list_intersect(list_distinct(a), b), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) AS common FROM w WHERE len(list_intersect(a, b)) > 0),
 j AS (SELECT doc_id, item_id, common / (len(a) + len(b) - common) AS similarity, start FROM c)
 SELECT doc_id, item_id, max(similarity)::DOUBLE AS similarity, greatest(arg_max(start, (similarity, -start)), 0)::INTEGER AS first_word FROM j WHERE similarity >= 0.8 GROUP BY doc_id, item_id"""
 

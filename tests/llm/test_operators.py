@@ -202,26 +202,32 @@ def test_topk(spark, monkeypatch):
 # 5
 
 
-def test_decontamination(spark):
-    items = [(1, prose(30, 500)), (2, prose(45, 501)), (3, None), (4, ""), (5, "one two three"), (1, prose(30, 500)), (6, prose(4100, 502))]
-    mid = prose(50, 600)
-    rows = [*EDGES, (40, mid + " " + items[0][1] + " " + mid), (41, items[1][1].upper()), (42, "zz " + items[1][1].split(" ", 1)[1]), (43, items[4][1]), (44, " ".join(items[1][1].split()[:30])), (40, mid + " " + items[0][1] + " " + mid), (45, (items[0][1] + " ") * 40), (46, " ".join(items[6][1].split()[:2500]))]
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.matches(clashing(frame(spark, rows)), frame(spark, items, "item_id long, text string")).collect()}
+def brute_leaks(rows, items):
+    """Best similarity over all windows of an item's length, at every start, of every document."""
     want = {}
     for d, t in rows:
         w = (t or "").lower().split()
         for i, item in items:
-            parts = (item or "").split()
-            for a in range(0, len(parts), decontamination.PART):
-                part = parts[a : a + decontamination.PART]
-                b, m = shingle_bag(" ".join(part)), len(part)
-                if not b or m > 200:
-                    continue
-                laid = [s for s in range(-m + 1, len(w)) if any(w[s + k : s + k + 5] == part[k : k + 5] for k in range(max(0, -s), max(1, m - 4)))]
-                best = max((jaccard(shingle_bag(" ".join(w[max(s, 0) : s + m])), b) for s in laid), default=0)
-                if best >= 0.8:
-                    want[d, i] = max(want.get((d, i), 0), best)
-    assert (46, 6) in got and {k for k in got if k[1] != 6} == set(want)
+            part = (item or "").lower().split()
+            k = min(5, len(part))
+            grams = lambda ws: [tuple(ws[x : x + k]) for x in range(len(ws) - k + 1)]
+            if not part or not set(grams(part)) & set(grams(w)):
+                continue
+            b, n, g = collections.Counter(grams(part)), len(part) - k + 1, grams(w)
+            best = max(jaccard(collections.Counter(g[max(s, 0) : s + n]), b) for s in range(1 - n, len(g)))
+            if best >= 0.8:
+                want[d, i] = max(want.get((d, i), 0), best)
+    return want
+
+
+def test_decontamination(spark):
+    items = [(1, prose(30, 500)), (2, prose(45, 501)), (3, None), (4, ""), (5, "one two three"), (1, prose(30, 500)), (6, prose(2300, 502) + " of the test"), (7, "What"), (8, "la " * 20 + prose(20, 512))]
+    mid, long = prose(50, 600), items[6][1].split()
+    rows = [*EDGES, (40, mid + " " + items[0][1] + " " + mid), (41, items[1][1].upper()), (42, "zz " + items[1][1].split(" ", 1)[1]), (43, items[4][1]), (44, " ".join(items[1][1].split()[:30])), (40, mid + " " + items[0][1] + " " + mid), (45, (items[0][1] + " ") * 40)]
+    rows += [(46, " ".join(long[:1500])), (47, "zz " + " ".join(long[50:-20]) + " zz"), (48, mid + " of the test " + mid), (49, mid + " one two three " + mid), (50, "what"), (51, "la " * 60), (52, mid + " " + " ".join(items[8][1].split()[15:] + items[8][1].split()[:15]))]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.matches(clashing(frame(spark, rows)), frame(spark, items, "item_id long, text string")).collect()}
+    want = brute_leaks(rows, items)
+    assert {(47, 6), (49, 5), (50, 7)} <= set(got) == set(want) and not {(46, 6), (48, 6)} & set(got)
     assert all(got[k] == pytest.approx(x) for k, x in want.items())
     left = decontamination.clean(clashing(frame(spark, rows)), frame(spark, items, "item_id long, text string"))
     assert left.count() == len(rows) - sum(d in {k[0] for k in got} for d, _ in rows) and "_key" in left.columns
@@ -231,27 +237,34 @@ def test_decontamination(spark):
 
 
 def test_decontamination_any_order(spark):
-    items = [(1, prose(60, 510)), (2, prose(45, 511)), (3, "la " * 20 + prose(20, 512))]
-    one, two, three = (i[1].split() for i in items)
+    items = [(1, prose(60, 510)), (2, prose(45, 511)), (3, "la " * 20 + prose(20, 512)), (4, prose(120, 513))]
+    one, two, three, four = (i[1].split() for i in items)
     mid = prose(8, 601).split()
-    texts = [one[30:] + one[:30], one[20:] + one[:20], two[15:30] + two[:15] + two[30:], three[20:] + three[:20], ["la"] * 60, one[40:] + one[:20]]
+    texts = [one[30:] + one[:30], one[20:] + one[:20], two[15:30] + two[:15] + two[30:], three[20:] + three[:20], ["la"] * 60, one[40:] + one[:20], four[60:] + four[:60]]
     rows = [(k, " ".join(t)) for k, t in enumerate([*(mid + t + mid for t in texts), *texts, one, mid + one, two[1:]])]
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.matches(frame(spark, rows), frame(spark, items, "item_id long, text string"), radius=63).collect()}
-    want = {}
-    for d, t in rows:
-        w = t.split()
-        for i, item in items:
-            b, m = shingle_bag(item), len(item.split())
-            size = len(w) - 4
-            laid = [s for s in range(-m + 5, size) if min(s + m - 4, size) > max(s, 0)]
-            best = max(jaccard(shingle_bag(" ".join(w[max(s, 0) : s + m])), b) for s in laid)
-            if best >= 0.8:
-                want[d, i] = best
-    assert {(0, 1), (1, 1)} <= set(want) and set(got) == set(want)
-    assert got[0, 1] == pytest.approx(want[0, 1]) and got[1, 1] == pytest.approx(want[1, 1])
-    usual = {(r.doc_id, r.item_id) for r in decontamination.matches(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()}
-    assert {(0, 1), (1, 1)} <= usual
-    assert not {0, 1} & {r.doc_id for r in decontamination.clean(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()}
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.matches(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()}
+    want = brute_leaks(rows, items)
+    assert {(0, 1), (1, 1), (6, 4)} <= set(want) == set(got)
+    assert all(got[k] == pytest.approx(x) for k, x in want.items()) and want[6, 4] > 0.9
+    assert not {0, 1, 6} & {r.doc_id for r in decontamination.clean(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_decontamination_random(spark, seed):
+    r = random.Random(seed)
+    items = [(i, " ".join(r.choice(VOCAB[:40]) for _ in range(r.randint(1, 40)))) for i in range(12)]
+    rows = []
+    for d in range(60):
+        w = r.choice(items)[1].split()
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = r.choice(VOCAB)
+        cut = r.randrange(len(w))
+        w = w[cut:] + w[:cut] if d % 3 == 0 else w[: len(w) - r.randint(0, 4)] if d % 3 == 1 else w
+        pad = lambda: [r.choice(VOCAB) for _ in range(r.choice([0, 0, 3, 30]))]
+        rows.append((d, " ".join([*pad(), *w, *pad()])))
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontamination.matches(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()}
+    want = brute_leaks(rows, items)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(x) for k, x in want.items())
 
 
 def test_decontamination_large_index(spark, monkeypatch):
