@@ -3,7 +3,7 @@
 Each document becomes its token ids and an end token; longer ones are cut at the capacity. A piece is
 put where the sum over gaps g of (open sequences with g tokens left) squared comes out smallest, which
 keeps the gaps varied so that later pieces find one that fits. Pieces are dealt at random to groups of
-bounded size; a group is packed in one task, longest pieces first, and leaves few open sequences.
+bounded size, equal ones too; a group is packed in one task, longest pieces first, and leaves few open sequences.
 
 Null text counts as empty (one end token). Repeated rows and repeated or null ids are packed as often as
 they occur. Equal choices go to the smallest gap; a new sequence counts as a gap of the whole capacity.
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import materialize
 from millrace.llm.textvec import slices, spaced, span_hashes, text_buffers, trim
 
 CAPACITY, END = 4096, 1
@@ -62,15 +63,16 @@ class WordEncoder:
     """Encodes texts with a word-level BPE. A slice's distinct words are looked up once; the rest is array work.
 
     ``rows`` equals the tokenizer's own output as little-endian 32-bit ids. Texts with characters whose case or
-    normal form could reach over a word (``_UNUSUAL``) go to the tokenizer as they are.
+    normal form could reach over a word (``_UNUSUAL``), or with one of its added tokens, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        # added tokens are found in the text before it is split, so a word that holds one leaves its text to the tokenizer
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.words: dict[int, bytes | None] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -87,7 +89,7 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes | None:
         """A word's ids; None if its text must be encoded whole."""
-        if not word.isascii() and _UNUSUAL.search(word) or _CONTROL.search(word):
+        if not word.isascii() and _UNUSUAL.search(word) or _CONTROL.search(word) or self.added.search(word):
             return None
         return b"".join(map(self._piece, _SPLIT.findall(word.lower())))
 
@@ -193,7 +195,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Add sequence_id and offset to pieces (any frame with a ``length`` of at most ``capacity``)."""
+    """Add sequence_id and offset to pieces (any frame with a ``length`` of at most ``capacity``).
+
+    A row's place decides its group, so that equal rows spread; pieces are a stored table, whose places stay.
+    """
+    if not hasattr(pieces, "_millrace_path"):
+        pieces = materialize(pieces, "pieces")
     rows = pieces.count()
     groups = max(1, -(-rows // group))
 
@@ -204,13 +211,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
         pdf["offset"] = offset
         return pdf.drop(columns="_group")
 
-    spread = F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)) if rows else F.lit(0)
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
     return pieces.withColumn("_group", spread).groupBy("_group").applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenize, cut and pack documents: the columns of ``tokenize`` with sequence_id and offset."""
-    from millrace.llm.common import materialize
-
     return pack(materialize(tokenize(docs, tokenizer, capacity), "pieces", arrow_rows=ROWS), capacity)

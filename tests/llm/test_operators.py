@@ -467,8 +467,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
-    odd = [(70, "İstanbul ΑΣ ΟΔΟΣ it's I'LL we'Re"), (71, "<|endoftext|> x"), (72, "a b\x1cc\x85d ½²³ ªº µ"), (73, "naïve K Ǆ ß ẞ"), (74, "x" * 100 + "'s"), (75, "".join(chr(c) + " " * (c % 3 == 0) for c in range(0xA1, 0x250)))]
+    odd = [(70, "İstanbul ΑΣ ΟΔΟΣ it's I'LL we'Re"), (71, "a <|endoftext|> x"), (76, "<|endo<|startoftext|>é <|ENDOFTEXT|>"), (77, "<|endoftext|>" * 300), (72, "a b\x1cc\x85d ½²³ ªº µ"), (73, "naïve K Ǆ ß ẞ"), (74, "x" * 100 + "'s"), (75, "".join(chr(c) + " " * (c % 3 == 0) for c in range(0xA1, 0x250)))]
     rows = [*EDGES, *odd]
     got = packing.pack_documents(clashing(frame(spark, rows)), queries.tokenizer_path()).collect()
     want = []
@@ -491,6 +490,12 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, []), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_spreads_equal_rows(spark):
+    rows = spark.range(0, 1000, 1, 4).select(F.lit(1).alias("doc_id"), F.lit(7).cast("long").alias("length"))
+    got = packing.pack(rows, capacity=64, group=100).groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()
+    assert len(got) == 10 and max(r["count"] for r in got) < 200 and sum(r["count"] for r in got) == 1000
+
+
 def test_sum_of_squares_rule():
     r = random.Random(4)
     sizes, cap = [r.randint(1, 20) for _ in range(300)], 20
