@@ -84,12 +84,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_katz_lm, op4_exact_topk, op5_decontamination, op6_quality, op7_line_dedup, op8_near_duplicates, op9_warc, op10_packing, pipeline)}
 
 
+#: Whole numbers as HUGEINT, so that no product or sum is rounded; scores beyond a long count as its ends.
 TOPK_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WITH n AS (SELECT row_number() OVER () AS r, * FROM embeddings),
+v AS (SELECT r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS v FROM n
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda x: coalesce(x[1] * x[2], 0))) AS x FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+s AS (SELECT r, query_id, vec_id, greatest(least(coalesce(x, 0), 9223372036854775807), -9223372036854775807)::BIGINT AS score FROM p)
 SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
-WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+WINDOW w AS (PARTITION BY r ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
 
 
 #: Every window of an item's length in every document that has any of its shingles, compared by multisets of shingle texts.

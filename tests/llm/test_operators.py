@@ -177,28 +177,46 @@ def test_katz_held_out_gain(spark, sf):
 # 4
 
 
+def brute_topk(rows, every=50, k=5):
+    """Each query row's k best by Python integers; rows count singly."""
+    v = [(i, [math.floor(256 * e) for e in x]) for i, x in rows if i is not None and x is not None and all(e is not None and math.isfinite(e) for e in x)]
+    clamp = lambda s: max(-(2**63) + 1, min(2**63 - 1, s))
+    want = []
+    for n, (q, x) in enumerate(v):
+        if q % every == 0:
+            best = sorted((-clamp(sum(a * b for a, b in zip(x, y))), c) for m, (c, y) in enumerate(v) if m != n)[:k]
+            want += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
+    return sorted(want)
+
+
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 32)
     monkeypatch.setattr(topk, "QUERIES", 4)
     monkeypatch.setattr(topk, "RUN", 2)
+    monkeypatch.setattr(topk, "GROUP", 2)
     r = np.random.default_rng(3)
-    rows = [(i, (r.normal(size=20) * (1 + i % 5)).tolist()) for i in range(300)]
+    single = lambda x: [float(np.float32(e)) for e in x]
+    rows = [(i, single(r.normal(size=20) * (1 + i % 5))) for i in range(300)]
     rows += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 20), (1003, [float("inf")] * 20), (None, [1.0]), (1050, []), (1051, [2.0, 1.0])]
-    rows += [(2000 + i, rows[0][1]) for i in range(9)] + [rows[7], rows[7]]
-    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 50, 5).collect()
-    v = {}
-    for i, x in rows:
-        if i is not None and x is not None and all(e is not None and math.isfinite(e) for e in x):
-            v[i] = np.floor(256 * np.r_[np.array(x, np.float32).astype(float), np.zeros(20 - len(x))])
-    want = []
-    for q in v:
-        if q % 50 == 0:
-            best = sorted((-int(v[q] @ v[c]), c) for c in v if c != q)[:5]
-            want += [(q, k, c, -s) for k, (s, c) in enumerate(best, 1)]
-    assert sorted(map(tuple, got)) == sorted(want)
+    rows += [(2000 + i, rows[0][1]) for i in range(9)] + [rows[7], rows[7], rows[50], rows[50]]
+    got = topk.search(clashing(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), 50, 5).collect()
+    assert sorted(map(tuple, got)) == brute_topk(rows)
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), 50).count() == 0
 
 
+@pytest.mark.parametrize("kind,size", [("float", 1e4), ("float", 1e6), ("double", 1e7), ("double", 1e30), ("double", 1e200), ("float", 3e38)])
+def test_topk_large_numbers(spark, monkeypatch, kind, size):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(120):
+        x = r.uniform(-1, 1, 12) * (size if i % 4 else 1.0)
+        rows.append((i, [float(np.float32(e)) if kind == "float" else float(e) for e in x]))
+    got = topk.search(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), 10, 5).collect()
+    assert sorted(map(tuple, got)) == brute_topk(rows, 10)
+
+
 # 5
 
 
