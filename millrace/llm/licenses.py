@@ -2,12 +2,16 @@
 
 Templates and texts are words (A-Z lower-cased). Per template of m words, a text's blocks are 2m successive
 words, starting at every multiple of m, so that any m successive words lie inside one block. A block meets a
-template if it holds at least the share ``CONTAINED`` of the template's distinct words. Template words are put
-in order of their frequency in all documents, rarest first: a block that meets the template must hold one of
-its first |T| - need + 1 words (prefix filter), have at least ``need`` distinct words (length filter), and its
-first match at place p leaves at most |T| - p words to share (positional filter). Blocks that pass are
-verified exactly. Where a template is contained so far in another license's template, a block must also hold
-the words that set it apart (``apart``). Documents are neither shuffled nor joined: the template index is a few hundred literals.
+template if it holds at least the share ``CONTAINED`` of the template's distinct words, all phrases that the
+template must have (such as the license's name with its version) and none that speaks against it, not even in the 2m
+words before or after. Template words
+are put in order of their frequency in all documents, rarest first: a block that meets the template must hold one
+of its first |T| - need + 1 words (prefix filter), which also leaves enough words after it (positional filter), and
+have at least ``need`` distinct words (length filter). Blocks that pass are verified exactly. A label is reported at
+its best block, the first of equal ones.
+
+Templates are a table: an index from prefix words to templates and the templates themselves are two constants of the
+plan, which has the same size however many there are. Documents are neither shuffled nor joined.
 
 Null and empty texts have no words and no labels; texts are taken whole; every row is scanned on its own, so
 null, tied and repeated ids do not matter. Without documents all frequencies are 0. Other columns pass.
@@ -15,6 +19,7 @@ null, tied and repeated ids do not matter. Without documents all frequencies are
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
@@ -22,31 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import words
+from millrace.llm.license_texts import PHRASES, TEMPLATES, Template
 
 CONTAINED = 0.8
-# Phrases that count as a license by themselves, and their labels.
-PHRASES = {
-    "under the mit license": "mit",
-    "apache license version 2": "apache-2",
-    "cc by nc": "cc-by-nc",
-}
-# Opening or naming sentences of common licenses, by label.
-TEMPLATES = {
-    "agpl-3": ["licensed under the GNU Affero General Public License version 3"],
-    "apache-2": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution NonCommercial 4.0 International License"],
-    "cc-by-sa": ["licensed under a Creative Commons Attribution ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0"],
-    "cc0": ["dedicated to the public domain under the CC0 1.0 Universal dedication"],
-    "gpl-2": ["under the terms of the GNU General Public License version 2"],
-    "gpl-3": ["This work is licensed under the GNU General Public License, version 3"],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "lgpl-3": ["licensed under the GNU Lesser General Public License version 3"],
-    "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "mpl-2": ["subject to the terms of the Mozilla Public License, v. 2.0"],
-    "unlicense": ["This is free and unencumbered software released into the public domain"],
-}
+_TEMPLATE = "array<struct<label:string,m:int,need:int,bag:array<string>,must:array<string>,unless:array<string>>>"
 
 
 def split(text: str) -> list[str]:
@@ -54,10 +38,8 @@ def split(text: str) -> list[str]:
     return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
 
 
-def apart(bags: list[tuple[str, list[str]]], contained: float) -> list[set[str]]:
-    """Per (label, words): the words missing from other labels' templates that alone would meet it."""
-    sets = [(label, set(ws)) for label, ws in bags]
-    return [set().union(*(t - s for other, s in sets if other != label and len(t & s) >= contained * len(t) - 1e-9)) for label, t in sets]
+def needed(bag: set[str], contained: float) -> int:
+    return math.ceil(contained * len(bag) - 1e-9)
 
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -70,22 +52,32 @@ def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def scan(docs: DataFrame, contained: float = CONTAINED, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+def _constant(value, kind: str) -> Column:
+    """A nested constant, which the optimiser folds into one literal."""
+    return F.from_json(F.lit(json.dumps(value)), F.lit(kind))
+
+
+def scan(docs: DataFrame, contained: float = CONTAINED, templates: list[Template] = TEMPLATES) -> DataFrame:
     """docs without text (and without columns of the names below) but with n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
-    ``matches`` lists (label, template, first word of the best block, containment) of what met a template.
+    ``matches`` lists (label, first word of its best block, containment) per label that met a template.
     """
-    bags = [(label, i, split(t)) for label, texts in sorted(templates.items()) for i, t in enumerate(texts)]
-    often = frequencies(docs, sorted({w for *_, b in bags for w in b}))
+    bags = [split(t.text) for t in templates]
+    often = frequencies(docs, sorted({w for b in bags for w in b}))
     order = lambda bag: sorted(set(bag), key=lambda w: (often.get(w, 0), w))
     phrases = [(p.split(), label) for p, label in PHRASES.items()]
     anchors = [min(range(len(p)), key=lambda i, p=p: (often.get(p[i], 0), p[i], i)) for p, _ in phrases]
-    need = lambda bag: math.ceil(contained * len(set(bag)) - 1e-9)
-    prefix = lambda bag: order(bag)[: len(set(bag)) - need(bag) + 1]
-    rare = sorted({w for *_, b in bags for w in prefix(b)} | {p[a] for (p, _), a in zip(phrases, anchors, strict=True)})
-
-    keep = [c for c in docs.columns if c not in ("text", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches", "_w", "_hits", "_base", "_met")]
-    out = docs.select(*(f"`{c}`" for c in keep), words(F.col("text")).alias("_w"))
+    table = [{"label": t.label, "m": len(b), "need": needed(set(b), contained), "bag": order(b), "must": list(t.must), "unless": list(t.unless)} for t, b in zip(templates, bags, strict=True)]
+    index: dict[str, list[int]] = {}
+    for i, t in enumerate(table):
+        for w in t["bag"][: len(t["bag"]) - t["need"] + 1]:
+            index.setdefault(w, []).append(i)
+    rare = sorted({*index, *(p[a] for (p, _), a in zip(phrases, anchors, strict=True))})
+    lookup, all_templates = _constant(index, "map<string,array<int>>"), _constant(table, _TEMPLATE)
+
+    keep = [c for c in docs.columns if c not in ("text", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches", "_w", "_hits", "_base", "_met", "_near")]
+    kept = [f"`{c}`" for c in keep]
+    out = docs.select(*kept, words(F.col("text")).alias("_w"))
     out = out.withColumn("_hits", F.filter(F.transform("_w", lambda w, i: F.when(w.isin(rare), i).otherwise(-1)), lambda i: i >= 0))
     w, hits = F.col("_w"), F.col("_hits")
     at = lambda i: F.get(w, i)
@@ -94,36 +86,39 @@ def scan(docs: DataFrame, contained: float = CONTAINED, templates: dict[str, lis
         starts = F.transform(F.filter(hits, lambda i: at(i) == phrase[anchor]), lambda i: i - anchor)
         return F.filter(starts, lambda s: (s >= 0) & (F.slice(w, F.greatest(s, F.lit(0)) + 1, len(phrase)) == _strings(phrase)))
 
-    own_words = apart([(label, b) for label, _, b in bags], contained)
-
-    def best(bag: list[str], must: set[str]) -> Column:
-        """The best block of a template as (containment, -block), null if none meets it."""
-        m, ranked, least = len(bag), order(bag), need(bag)
-        first = {t: p for p, t in enumerate(ranked) if len(ranked) - p >= least}  # place p leaves |T| - p words
-        own = F.filter(hits, lambda i: at(i).isin(list(first)))
-        block = F.array_distinct(F.flatten(F.transform(own, lambda i: F.array(F.floor(i / m).cast("int"), F.floor(i / m).cast("int") - 1))))
-        text = lambda j: F.array_distinct(F.slice(w, j * m + 1, 2 * m))
-        full = lambda t: (F.size(t) >= least) & (F.size(F.array_intersect(t, _strings(sorted(must)))) == len(must) if must else F.lit(True))
-        live = F.filter(block, lambda j: (j >= 0) & full(text(F.greatest(j, F.lit(0)))))
-        scored = F.transform(live, lambda j: F.struct((F.size(F.array_intersect(text(j), _strings(ranked))) / F.lit(float(len(ranked)))).alias("share"), (-j * m).alias("at")))
-        top = F.array_max(scored)
-        return F.when(top["share"] >= contained - 1e-9, top)
-
-    out = out.select(
-        *(f"`{c}`" for c in keep),
-        F.size(w).cast("long").alias("n_words"),
-        F.array(*(places(p, a) for (p, _), a in zip(phrases, anchors, strict=True))).alias("_base"),
-        F.array(*(best(b, must) for (*_, b), must in zip(bags, own_words, strict=True))).alias("_met"),
-    )
+    # (template, block) pairs that a prefix word leads to
+    def around(i: Column) -> Column:
+        block = lambda t: F.floor(i / F.get(all_templates, t)["m"]).cast("int")
+        pair = lambda t, j: F.struct(t.alias("t"), j.alias("j"))
+        found = F.coalesce(F.try_element_at(lookup, at(i)), F.array().cast("array<int>"))
+        return F.flatten(F.transform(found, lambda t: F.array(pair(t, block(t)), pair(t, block(t) - 1))))
+
+    out = out.select(*kept, "_w", F.array(*(places(p, a) for (p, _), a in zip(phrases, anchors, strict=True))).alias("_base"), F.filter(F.array_distinct(F.flatten(F.transform(hits, around))), lambda c: c["j"] >= 0).alias("_near"))
+
+    def verified(c: Column) -> Column:
+        t = F.get(all_templates, c["t"])
+        block = F.slice(w, c["j"] * t["m"] + 1, t["m"] * 2)
+        near = F.slice(w, F.greatest(c["j"] - 2, F.lit(0)) * t["m"] + 1, (c["j"] + 4 - F.greatest(c["j"] - 2, F.lit(0))) * t["m"])
+        line = lambda ws: F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
+        holds = lambda ws: lambda p: F.contains(line(ws), F.concat(F.lit(" "), p, F.lit(" ")))
+        common = F.size(F.array_intersect(F.array_distinct(block), t["bag"]))
+        fits = (F.size(block) >= t["need"]) & (common >= t["need"]) & F.forall(t["must"], holds(block)) & ~F.exists(t["unless"], holds(near))
+        return F.when(fits, F.struct(t["label"].alias("label"), (c["j"] * t["m"]).alias("at"), (common / F.size(t["bag"])).alias("share")))
+
+    out = out.select(*kept, F.size(w).cast("long").alias("n_words"), "_base", F.array_compact(F.transform("_near", verified)).alias("_met"))
     base, met = F.col("_base"), F.col("_met")
     base_labels = F.array_compact(F.array(*(F.when(F.size(base[k]) > 0, F.lit(label)) for k, (_, label) in enumerate(phrases))))
-    names = F.array_compact(F.array(*(F.when(met[k].isNotNull(), F.lit(label)) for k, (label, *_) in enumerate(bags))))
-    spans = F.array_compact(F.array(*(F.when(met[k].isNotNull(), F.struct(F.lit(label).alias("label"), F.lit(i).alias("template"), (-met[k]["at"]).alias("first_word"), met[k]["share"].alias("containment"))) for k, (label, i, _) in enumerate(bags))))
+    names = F.array_sort(F.array_distinct(F.transform(met, lambda x: x["label"])))
+
+    def best(label: Column) -> Column:
+        top = F.array_max(F.transform(F.filter(met, lambda x: x["label"] == label), lambda x: F.struct(x["share"].alias("share"), (-x["at"]).alias("at"))))
+        return F.struct(label.alias("label"), (-top["at"]).alias("first_word"), top["share"].alias("containment"))
+
     every = F.flatten(base)
     share = F.coalesce(F.array_max(F.transform(met, lambda x: x["share"])), F.lit(0.0))
     join = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return out.select(
-        *(f"`{c}`" for c in keep),
+        *kept,
         "n_words",
         F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"),
@@ -131,24 +126,26 @@ def scan(docs: DataFrame, contained: float = CONTAINED, templates: dict[str, lis
         join(base_labels).alias("base_labels"),
         join(F.concat(base_labels, names)).alias("labels"),
         F.when(F.size(every) > 0, 1.0).otherwise(share).alias("score"),
-        spans.alias("matches"),
+        F.transform(names, best).alias("matches"),
     )
 
 
-def scan_sql(contained: float = CONTAINED, templates: dict[str, list[str]] = TEMPLATES) -> str:
-    """The same result (without ``matches``) as DuckDB SQL that looks at every block of every template."""
-    bags = [(label, split(t)) for label, texts in sorted(templates.items()) for t in texts]
-    own_words = apart(bags, contained)
-    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    blocks = " UNION ALL ".join(
-        f"SELECT doc_id, '{label}' AS label, max(len(list_intersect(list_distinct(w[j * {len(b)} + 1 : j * {len(b)} + {2 * len(b)}]), {quoted(sorted(set(b)))})) / {float(len(set(b)))}) AS share FROM (SELECT doc_id, w, unnest(range(0, (len(w) + {len(b) - 1}) // {len(b)})) AS j FROM d){f' WHERE list_has_all(w[j * {len(b)} + 1 : j * {len(b)} + {2 * len(b)}], {quoted(sorted(must))})' if must else ''} GROUP BY doc_id"
-        for (label, b), must in zip(bags, own_words, strict=True)
-    )
+def scan_sql(contained: float = CONTAINED, templates: list[Template] = TEMPLATES) -> str:
+    """The same result (without ``matches``) as DuckDB SQL that looks at every block for every template."""
+    quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]::VARCHAR[]"
+    rows = []
+    for t in templates:
+        bag = split(t.text)
+        rows.append(f"('{t.label}', {len(bag)}, {needed(set(bag), contained)}, {quoted(sorted(set(bag)))}, {quoted(t.must)}, {quoted(t.unless)})")
     places = reduce(lambda a, b: f"list_concat({a}, {b})", (f"list_transform(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {quoted(p.split())}), lambda i: {{'at': i, 'label': '{label}'}})" for p, label in PHRASES.items()))
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT doc_id, len(w) AS n_words, {places} AS p FROM d),
-met AS (SELECT doc_id, list(label) AS labels, max(share) AS share FROM ({blocks}) WHERE share >= {contained - 1e-9} GROUP BY doc_id)
+t(label, m, need, bag, must, unless) AS (VALUES {", ".join(rows)}),
+k AS (SELECT doc_id, label, need, bag, must, unless, w[j * m + 1 : j * m + 2 * m] AS block, w[greatest(j - 2, 0) * m + 1 : (j + 4) * m] AS near FROM (SELECT d.*, t.*, unnest(range(0, (len(w) + m - 1) // m)) AS j FROM d, t)),
+s AS (SELECT *, len(list_intersect(list_distinct(block), bag)) AS common FROM k),
+met AS (SELECT doc_id, list(label) AS labels, max(common / len(bag)) AS share FROM s WHERE common >= need
+  AND len(list_filter(must, lambda x: NOT contains(' ' || array_to_string(block, ' ') || ' ', ' ' || x || ' '))) = 0 AND len(list_filter(unless, lambda x: contains(' ' || array_to_string(near, ' ') || ' ', ' ' || x || ' '))) = 0 GROUP BY doc_id)
 SELECT b.doc_id, n_words::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min([x.at for x in p])::BIGINT AS first_word, list_max([x.at for x in p])::BIGINT AS last_word,
   array_to_string(list_sort(list_distinct([x.label for x in p])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat([x.label for x in p], coalesce(met.labels, [])))), ',') AS labels,

@@ -86,6 +86,40 @@ def test_license_cases(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+LABELLED = {
+    "Released under the Apache License": "",
+    "released the license under review by the board": "",
+    "released by the license board of MIT under review": "",
+    "under the terms of the GNU General Public License version 3": "gpl-3",
+    "under the terms of the GNU General Public License version 2": "gpl-2",
+    "licensed under the GNU Affero General Public License version 3": "agpl-3",
+    "licensed under the GNU Lesser General Public License, version 2.1": "lgpl-2.1",
+    "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License": "cc-by-nc",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+    "Licensed under CC BY-NC-SA 4.0": "cc-by-nc,cc-by-nc-sa",
+    "Licensed under the Apache License, Version 2.0.": "apache-2",
+    "the creative commons of the village is an international meeting place": "",
+}
+
+
+def test_license_labels(spark):
+    rows = list(enumerate(LABELLED)) + [(100 + i, "zz " * 40 + t.text + " zz" * 40) for i, t in enumerate(licenses.TEMPLATES)]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert {t: got[i].labels for i, t in enumerate(LABELLED)} == LABELLED
+    for i, t in enumerate(licenses.TEMPLATES):
+        named = got[100 + i].labels.split(",")
+        # the base phrase "cc by nc" also stands in its kinds, so its label does
+        assert t.label in named and set(named) <= {t.label, "cc-by-nc"}, (t, named)
+        assert all(40 - len(t.text.split()) <= m.first_word + len(t.text.split()) for m in got[100 + i].matches)
+
+
+def test_license_plan_size(spark):
+    docs = frame(spark, [(1, "a")])
+    nodes = lambda n: licenses.scan(docs, templates=[licenses.Template(f"x{i}", f"one{i} two{i} three four") for i in range(n)])._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction")
+    assert nodes(300) == nodes(3)
+
+
 # 2
 
 
