@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one only where none is set."""
+    """The folder all executors share, as the cluster names it; where none is set, a temporary one on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "millrace-checkpoints")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -46,6 +47,8 @@ def purge(spark: SparkSession) -> None:
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Deletes a query's shuffle files once it has run; its rows are in the table by then.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, name: str, by: tuple[str, ...] = (), arrow_rows: int | None = None, **write: str) -> DataFrame:
@@ -56,13 +59,15 @@ def materialize(df: DataFrame, name: str, by: tuple[str, ...] = (), arrow_rows:
     """
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    usual = spark.conf.get(ARROW_ROWS)
+    usual, cleaned = spark.conf.get(ARROW_ROWS), spark.conf.get(CLEANUP, "false")
     try:
+        spark.conf.set(CLEANUP, "true")
         if arrow_rows:
             spark.conf.set(ARROW_ROWS, min(arrow_rows, int(usual)) if int(usual) > 0 else arrow_rows)
         df.write.options(**write).partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(ARROW_ROWS, usual)
+        spark.conf.set(CLEANUP, cleaned)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out
@@ -86,10 +91,6 @@ def held_out(key: Column, mod: int) -> Column:
     return F.coalesce(remainder(key, mod) == 2, F.lit(False))
 
 
-def crc_mod(key: int, mod: int) -> int:
-    return zlib.crc32(str(key).encode()) % mod
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, wherever the optimiser moves the expression."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
