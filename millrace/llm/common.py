@@ -73,12 +73,12 @@ def materialize(df: DataFrame, name: str, by: tuple[str, ...] = (), arrow_rows:
     return out
 
 
-def release(*dfs: DataFrame) -> None:
-    """Delete tables made by ``materialize`` that nothing still to run reads."""
+def release(*dfs: DataFrame, part: str = "") -> None:
+    """Delete tables made by ``materialize``, or one partition of each, that nothing still to run reads."""
     for df in dfs:
         path = getattr(df, "_millrace_path", None)
         if path:
-            _delete(df.sparkSession, path)
+            _delete(df.sparkSession, f"{path}/{part}" if part else path)
 
 
 def remainder(key: Column, mod: int) -> Column:

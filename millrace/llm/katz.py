@@ -1,22 +1,29 @@
-"""Katz backoff language model over words, counted and evaluated in hash buckets.
+"""Katz backoff language model over words, of order ``ORDER``, counted and evaluated in hash buckets.
 
-Tokens are runs without white space (A-Z lower-cased) and one end token per text; the end token is also the
-history of the first word, so a history's total is its token count. Orders are 1 and 2:
+Tokens are runs without white space (A-Z lower-cased) and one end token per text; the end token also stands for what
+is before a text, so each token has a history of every length. With c a count in the training tokens, h a history
+and h' the same without its first word:
 
-    p(w | u) = d(c(u,w)) c(u,w) / (c(u) + 1)   if (u, w) was seen, else  a(u) p(w)
-    p(w)     = d'(c(w)) c(w) / N               if w was seen,      else  the mass left, for all unseen words
+    p(w | h) = d(c(h,w)) c(h,w) / T(h)   if (h, w) was seen, else  a(h) p(w | h')
+    p(w)     = d(c(w)) c(w) / N          if w was seen,      else  the mass left, for all unseen words
 
-d and d' are Good-Turing discounts of counts up to ``K``; the one added to c(u) keeps some mass for backoff in
-every history. a(u) = (1 - sum of seen p(w|u)) / (1 - sum of those p(w)), so each history sums to one over
-the seen words and the unseen class.
+d are the order's Good-Turing discounts of counts up to ``K``; larger counts are left alone. T(h) is c(h); only where
+none of the counts after h is discounted it is c(h) + 1, so that every history keeps mass for backoff. a(h) = (1 - sum
+of seen p(w|h)) / (1 - sum of those p(w|h')), so each history sums to one over the seen words and the unseen class. A
+history that was not seen passes its token on: p(w | h) = p(w | h').
 
-Work moves as compressed arrays instead of rows. Documents become batches of token numbers (a table in shared
-storage). Each batch sends its distinct words to word buckets, which total the training counts and answer each
-batch; then its distinct word pairs, with the documents that hold them, to buckets of their history. A history
-with many tokens is spread over all buckets by the second word, and its few sums are merged afterwards. A key
-takes one entry per batch however frequent it is. The bucket results, among them the bigram counts
-(kind = model), are a table partitioned by kind; discounts come from its counts of counts, and a last step
-per batch sums up its documents.
+Work moves as compressed arrays instead of rows. Documents become batches of token numbers (the state, a table in
+shared storage). Level 1 sends each batch's distinct words to word buckets, which total the training counts and
+answer. Level n sends each batch's distinct n-grams, grouped by history, to buckets of their history, with what the
+level below found out about them; a bucket totals the counts, keeps them as a part of the model, and answers each
+batch with its n-grams' counts and, for histories with unseen words, with what their weight is made of. The answers
+become part of the state, and the next level starts. The last answers end in the documents' sums, by the recursion
+above. A level is done in ``PASSES`` shares of its buckets, one after the other, which bounds what is on disk at once.
+
+A key takes one entry per batch however frequent it is. A history with many tokens is spread over all buckets by its
+next word, and its sums are added up by Spark. Each level's counts (kind = model), counts of counts (stats) and the
+words' hashes are tables partitioned by kind. Weights follow from counts and are not stored: they would take as much
+again as the input.
 
 Null text counts as empty: one end token. Rows with a null key are scored but not learned from. Repeated rows
 count as often as they occur. With nothing to learn from, every token is unseen and base and model agree.
@@ -36,43 +43,42 @@ from pyspark.sql import functions as F
 from millrace.llm.common import materialize, partitions, release
 from millrace.llm.textvec import lowered, mix, slices, spaced, span_hashes, text_buffers, trim
 
-#: Counts up to K are discounted. Bytes of text in a batch. Word entries and tokens that a bucket may take.
-K, BATCH, WORDS, PAIRS = 5, 12 << 20, 1_500_000, 1_500_000
+#: Words in the longest n-gram. Counts up to K are discounted. Shares in which a level is done.
+ORDER, K, PASSES = 3, 5, 2
+#: Bytes of text in a batch. Word entries and tokens that a bucket may take.
+BATCH, WORDS, PAIRS = 12 << 20, 1_500_000, 1_000_000
 #: A history is spread over buckets from this many tokens, and from this share of all tokens on.
 HOT, SHARE = 1 << 20, 1e-4
-#: Parts of the words' hash range; the most word buckets there can be.
-SPOTS = 1 << 16
-#: Stands for a null key inside a batch.
-NO_ID = -(1 << 63)
 END = np.uint64(0xE0D0_E0D0_E0D0_E0D1)
 
-BATCHES = "batch_id long, docs binary, train binary, sizes binary, tokens binary, spots binary, words binary, counts binary, n_tokens long, n_train long, n_words long"
+STATE = "batch_id long, nulls binary, docs binary, train binary, sizes binary, tokens binary, end long, words binary, levels binary, n_tokens long, n_train long, n_words long"
 PARTS = "kind string, bucket long, batch_id long, data binary"
+COUNTS = "kind string, bucket long, batch_id long, data binary, history array<long>, sums array<double>"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed blob; bytes of like weight lie together."""
     import zstandard
 
-    out = []
+    head, body = [np.array([len(arrays)], "<u4").tobytes()], []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        planes = a.view(np.uint8).reshape(-1, a.itemsize).T if len(a) else a.view(np.uint8)
-        blob = zstandard.ZstdCompressor(level=5).compress(planes.tobytes())
-        out.append(np.array([len(blob), len(a)], "<u8").tobytes() + a.dtype.str.encode().ljust(4) + blob)
-    return b"".join(out)
+        head.append(a.dtype.str[1:].encode() + np.array([len(a)], "<u8").tobytes())
+        body.append((a.view(np.uint8).reshape(-1, a.itemsize).T if len(a) else a.view(np.uint8)).tobytes())
+    return zstandard.ZstdCompressor(level=5).compress(b"".join(head + body))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     import zstandard
 
-    out, at = [], 0
-    while at < len(data):
-        size, n = (int(x) for x in np.frombuffer(data, "<u8", 2, at))
-        kind = np.dtype(data[at + 16 : at + 20].decode().strip())
-        raw = zstandard.ZstdDecompressor().decompress(data[at + 20 : at + 20 + size], max_output_size=max(1, n * kind.itemsize))
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel() if n else np.zeros(0, kind))
-        at += 20 + size
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    out, at = [], 4 + 10 * n
+    for i in range(n):
+        kind, size = np.dtype("<" + raw[4 + 10 * i : 6 + 10 * i].decode()), int(np.frombuffer(raw, "<u8", 1, 6 + 10 * i)[0])
+        cells = np.frombuffer(raw, np.uint8, size * kind.itemsize, at)
+        out.append(np.ascontiguousarray(cells.reshape(kind.itemsize, size).T).view(kind).ravel() if size else np.zeros(0, kind))
+        at += size * kind.itemsize
     return out
 
 
@@ -83,7 +89,10 @@ def small(a: np.ndarray) -> np.ndarray:
 
 
 def good_turing(seen: list[int], k: int = K) -> np.ndarray:
-    """Discounts d[0..k] from counts of counts seen[1..k+1]; d[0] is unused. Too sparse counts shorten k."""
+    """Discounts d[0..k] from counts of counts seen[1..k+1]; d[0] is unused. Too sparse counts shorten k.
+
+    Those below one are d[1] to d[t] for some t, so a count is discounted if it is at most t.
+    """
     d = np.ones(K + 1)
     for top in range(k, 0, -1):
         n = seen[: top + 2]
@@ -94,26 +103,31 @@ def good_turing(seen: list[int], k: int = K) -> np.ndarray:
             continue
         r = np.arange(1, top + 1)
         got = ((r + 1) * np.array(n[2 : top + 2]) / (r * np.array(n[1 : top + 1])) - rest) / (1 - rest)
-        if (got > 0).all() and (got <= 1).all():
+        if (got > 0).all() and (got < 1).all():
             d[1 : top + 1] = got
             return d
     d[1:] = 0.5 if seen[1] else 1.0
     return d
 
 
-def batches(docs: DataFrame, n: int) -> DataFrame:
-    """Documents (doc_id, train, text) as batches of token numbers with each batch's distinct words.
+def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return c * np.where(c <= K, d[np.minimum(c, K)], 1.0)
 
-    ``spots`` has each distinct word's part of ``n``, which picks its bucket, and ``n`` for the end token.
-    """
+
+def batches(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, train, text) as batches of token numbers with each batch's distinct words and their counts."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
+        kinds = {"long": pa.int64(), "binary": pa.binary()}
+        names, types = zip(*(x.split() for x in STATE.split(", ")), strict=True)
         for batch in parts:
             raw, offsets = text_buffers(batch["text"])
-            ids = np.array([NO_ID if x is None else x for x in batch["doc_id"].to_pylist()], np.int64)
+            keys = batch["doc_id"].to_pylist()
+            null = np.array([x is None for x in keys], bool)
+            ids = np.array([0 if x is None else x for x in keys], np.int64)
             train = np.array(batch["train"].to_pylist(), bool)
             for i, j in slices(offsets, BATCH):
                 low = lowered(raw[offsets[i] : offsets[j]])
@@ -121,21 +135,19 @@ def batches(docs: DataFrame, n: int) -> DataFrame:
                 hashes = span_hashes(low, starts, ends)
                 size = np.bincount(rows, minlength=j - i) + 1
                 last = np.cumsum(size) - 1
-                all_tokens = np.empty(int(size.sum()), np.uint64)
-                inner = np.ones(len(all_tokens), bool)
+                every = np.empty(int(size.sum()), np.uint64)
+                inner = np.ones(len(every), bool)
                 inner[last] = False
-                all_tokens[inner], all_tokens[last] = hashes, END
-                words, tokens = np.unique(all_tokens, return_inverse=True)
+                every[inner], every[last] = hashes, END
+                words, tokens = np.unique(every, return_inverse=True)
                 learned = np.repeat(train[i:j], size)
                 counts = np.bincount(tokens[learned], minlength=len(words))
-                row = [(part << 32) + made, pack(ids[i:j]), pack(train[i:j].astype("u1")), pack(small(size)), pack(small(tokens)), pack(np.where(words == END, n, words % np.uint64(n)).astype("<u4")), pack(words), pack(small(counts)), len(tokens), int(learned.sum()), len(words)]
+                row = ((part << 32) + made, pack(null[i:j].astype("u1")), pack(ids[i:j]), pack(train[i:j].astype("u1")), pack(small(size)), pack(small(tokens)), int(tokens[-1]), pack(words, small(counts)), b"", len(tokens), int(learned.sum()), len(words))
                 made += 1
-                names = [x.split()[0] for x in BATCHES.split(", ")]
-                kinds = [pa.int64()] + [pa.binary()] * 7 + [pa.int64()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([v], kinds[t]) for v, t in zip(row, types, strict=True)], list(names))
                 trim()
 
-    return docs.select("doc_id", "train", "text").mapInArrow(run, BATCHES)
+    return docs.select("doc_id", "train", "text").mapInArrow(run, STATE)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -150,196 +162,334 @@ def by_bucket(bucket: np.ndarray, n: int):
         yield int(bucket[order[a]]), order[a:z]
 
 
+def word_bucket(words: np.ndarray, n: int) -> np.ndarray:
+    return (words % np.uint64(n)).astype(np.int64)
+
+
 def count_words(made: DataFrame, n: int) -> DataFrame:
     """Word buckets: kind ``reply`` (numbers and total counts for a batch's words), ``words`` and ``stats``."""
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for row in pdf.itertuples():
-                words, counts = *unpack(row.words), *unpack(row.counts)
-                yield _frame([("ask", b, row.batch_id, pack(words[at], counts[at])) for b, at in by_bucket((words % np.uint64(SPOTS)).astype(np.int64) % n, n)])
+                words, counts = unpack(row.words)
+                yield _frame([("ask", b, row.batch_id, pack(words[at], counts[at])) for b, at in by_bucket(word_bucket(words, n), n)])
 
     def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         b, got = int(key[0]), [unpack(x) for x in pdf["data"]]
         words, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         counts = np.bincount(back, np.concatenate([g[1] for g in got]).astype(float), len(words)).astype(np.int64)
         # frequent words get small numbers, which pack better
-        rank = np.empty(len(words), np.uint64)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(len(words), dtype=np.uint64)
-        number = rank * np.uint64(n) + np.uint64(b)
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(words))
+        number = rank * n + b
         rows, at = [], 0
         for batch, g in zip(pdf["batch_id"], got, strict=True):
             mine = back[at : at + len(g[0])]
             rows.append(("reply", b, batch, pack(small(number[mine]), small(counts[mine]))))
             at += len(g[0])
-        seen = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)
-        rows.append(("stats", b, -1, pack(np.r_[seen, counts.sum()].astype("<i8"))))
-        rows.append(("words", b, -1, pack(words[counts > 0], small(counts[counts > 0]))))
+        rows.append(("stats", b, -1, pack(counted(counts))))
+        rows.append(("words", b, -1, pack(words[counts > 0], small(number[counts > 0]), small(counts[counts > 0]))))
         return _frame(rows)
 
-    asked = made.select("batch_id", "words", "counts").mapInPandas(ask, PARTS)
-    return asked.groupBy("bucket").applyInPandas(total, PARTS)
+    asked = made.select("batch_id", "words").mapInPandas(ask, PARTS)
+    return asked.repartition(n, "bucket").groupBy("bucket").applyInPandas(total, PARTS)
+
+
+def counted(counts: np.ndarray) -> np.ndarray:
+    """Counts of counts 0 to K + 1 and above, and the total."""
+    return np.r_[np.bincount(np.minimum(counts, K + 2), minlength=K + 3), counts.sum()].astype("<i8")
 
 
 def summed_stats(table: DataFrame) -> np.ndarray:
-    """Counts of counts 0..K, of more, and the total; one row per bucket comes to the driver, summed by Spark."""
+    """Counts of counts and the total over all buckets, summed by Spark."""
+    names = [f"s{i}" for i in range(K + 4)]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pd.DataFrame([unpack(x)[0] for x in pdf["data"]], columns=[f"s{i}" for i in range(K + 4)], dtype="int64")
+            yield pd.DataFrame([unpack(x)[0] for x in pdf["data"]], columns=names, dtype="int64")
 
-    names = [f"s{i}" for i in range(K + 4)]
     got = table.filter("kind = 'stats'").select("data").mapInPandas(run, ", ".join(f"{x} long" for x in names)).agg(*(F.sum(x).alias(x) for x in names)).first()
     return np.array([x or 0 for x in got], np.int64)
 
 
-def unigram(c: np.ndarray, total: int, d: np.ndarray, unseen: float) -> np.ndarray:
-    p = c / max(total, 1) * np.where(c <= K, d[np.minimum(c, K)], 1.0)
-    return np.where(c > 0, p, unseen)
+def unseen_mass(stats: np.ndarray, total: int, d: np.ndarray) -> float:
+    """What the discounted unigrams leave."""
+    return 1 - sum(float(d[r]) * r * int(stats[r]) for r in range(1, K + 1)) / total - (total - sum(r * int(stats[r]) for r in range(1, K + 1))) / total if total else 1.0
+
+
+class Model:
+    """What is known of the model as a whole: token total, types, discounts per order, mass of unseen words."""
+
+    def __init__(self, stats: np.ndarray):
+        self.total, self.types = int(stats[-1]), int(stats[1 : K + 3].sum())
+        self.d = [None, good_turing([int(x) for x in stats[: K + 2]])]
+        self.spare = unseen_mass(stats, self.total, self.d[1])
+        if self.total and self.spare <= 0:  # no word has a small count
+            self.d[1] = np.r_[1.0, np.full(K, 1 - 1 / (self.total + self.types + 1))]
+            self.spare = unseen_mass(stats, self.total, self.d[1])
+        if self.total and self.spare <= 0:
+            self.spare = 1 / (self.total + self.types + 1)
+        self.hot = max(HOT, int(self.total * SHARE))
+
+    def unigram(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, discounted(c, self.d[1]) / max(self.total, 1), self.spare)
+
+    def top(self, n: int) -> int:
+        """The largest count that order n discounts."""
+        return int((self.d[n][1:] < 1).sum())
+
+
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct ascending values, a position of each, each position's rank) of non-negative integers."""
+    bits = max(1, (len(values) - 1).bit_length())
+    if len(values) and int(values.max()) < 1 << (63 - bits):
+        code = np.sort((values << bits) | np.arange(len(values)))
+        pos, value = code & ((1 << bits) - 1), code >> bits
+    else:
+        pos = np.argsort(values, kind="stable")
+        value = values[pos]
+    new = np.r_[True, value[1:] != value[:-1]] if len(value) else np.zeros(0, bool)
+    rank = np.empty(len(values), np.int64)
+    rank[pos] = np.cumsum(new) - 1
+    return value[new], pos[new], rank
+
+
+class Level:
+    """The distinct n-grams of a batch in order of history and word: entries; runs are those with one history."""
+
+    def __init__(self, batch: Batch, n: int):
+        below = batch.grams[n - 1]
+        history = np.zeros(len(batch.tokens), np.int64)  # 0: nothing before the text's first token
+        history[1:] = below[:-1] + 1
+        history[batch.first] = 0
+        value, self.pos, batch.grams[n] = grouped(history * len(batch.number) + batch.tokens)
+        of = value // len(batch.number)
+        new = np.r_[True, of[1:] != of[:-1]]
+        self.run, self.head = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.suffix = below[self.pos]
+        # a history's total is its own count as a gram; that of no words is the count of the end token
+        self.total = np.where(of[new] > 0, batch.counts[n - 1][np.maximum(of[new] - 1, 0)], batch.count[batch.end])
+        self.word = batch.tokens[self.pos]
+        self.before = [batch.word_before(self.pos[self.head], k) for k in range(n - 1, 0, -1)]
+        self.n, self.hot = n, self.total >= batch.model.hot
+
+    def buckets(self, batch: Batch, n_buckets: int) -> np.ndarray:
+        """The bucket of each entry: of its history, for hot ones also of its word."""
+        spot = np.zeros(len(self.head), np.uint64)
+        for w in self.before:
+            spot = mix(spot + batch.number[w].astype(np.uint64))
+        spot = spot[self.run]
+        spot = np.where(self.hot[self.run], mix(spot ^ mix(batch.number[self.word].astype(np.uint64))), spot)
+        return (spot % np.uint64(n_buckets)).astype(np.int64)
+
+
+class Batch:
+    """A batch's tokens, numbers and counts, with the levels that are known so far."""
+
+    def __init__(self, row, model: Model):
+        self.model, self.end = model, int(row.end)
+        self.null, self.ids, self.train, size, tokens = (unpack(x)[0] for x in (row.nulls, row.docs, row.train, row.sizes, row.tokens))
+        self.size, self.tokens = size.astype(np.int64), tokens.astype(np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.number, self.count = (x.astype(np.int64) for x in unpack(row.words))
+        self.grams: dict[int, np.ndarray] = {1: self.tokens}
+        self.counts: dict[int, np.ndarray] = {1: self.count}
+        self.levels: dict[int, Level] = {}
+        #: Per level, by run: the total by which its counts are divided, and the logarithm of its weight.
+        self.divisor: dict[int, np.ndarray] = {}
+        self.weight: dict[int, np.ndarray] = {}
+        known = unpack(row.levels) if row.levels else []
+        for i in range(0, len(known), 3):
+            self.add(i // 3 + 2, *known[i : i + 3])
+
+    def word_before(self, pos: np.ndarray, k: int) -> np.ndarray:
+        start = self.first[np.searchsorted(self.first, pos, "right") - 1]
+        return np.where(pos - k >= start, self.tokens[np.maximum(pos - k, 0)], self.end)
+
+    def level(self, n: int) -> Level:
+        if n not in self.levels:
+            self.levels[n] = Level(self, n)
+        return self.levels[n]
+
+    def add(self, n: int, counts: np.ndarray, plus: np.ndarray, weight: np.ndarray) -> None:
+        level = self.level(n)
+        self.counts[n], self.weight[n] = counts.astype(np.int64), weight
+        self.divisor[n] = level.total + plus
+
+    def logs(self, n: int) -> np.ndarray:
+        """log10 of the probability of each distinct n-gram's last word, by recursion."""
+        if n == 1:
+            return np.log10(self.model.unigram(self.count))
+        level, c = self.levels[n], self.counts[n]
+        seen = discounted(c, self.model.d[n]) / np.maximum(self.divisor[n][level.run], 1)
+        return np.where(c > 0, np.log10(np.where(c > 0, seen, 1.0)), self.weight[n][level.run] + self.logs(n - 1)[level.suffix])
+
+
+def ask_grams(model: Model, n: int, n_buckets: int, share: int):
+    """Map a state to what its batches ask of the buckets of this share."""
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for row in pdf.itertuples():
+                batch = Batch(row, model)
+                level = batch.level(n)
+                learned = np.bincount(batch.grams[n][np.repeat(batch.train, batch.size) > 0], minlength=len(level.pos))
+                below = batch.counts[n - 1][level.suffix]
+                divisor = batch.divisor[n - 1][batch.levels[n - 1].run[level.suffix[level.head]]] if n > 2 else np.zeros(len(level.head), np.int64)
+                rows = []
+                for b, at in by_bucket(level.buckets(batch, n_buckets), n_buckets):
+                    if b % PASSES == share:
+                        runs, many = np.unique(level.run[at], return_counts=True)
+                        rows.append(("ask", b, row.batch_id, pack(small(many), small(divisor[runs]), level.hot[runs].astype("u1"), small(batch.number[level.word[at]]), small(below[at]), small(learned[at]), *(small(batch.number[w[runs]]) for w in level.before))))
+                yield _frame(rows)
+                trim()
 
-def unseen_mass(stats: np.ndarray, total: int, d: np.ndarray) -> float:
-    """What the discounted unigrams leave; at least the share that adding one to each count would."""
-    if not total:
-        return 1.0
-    kept = sum(float(d[r]) * r * int(stats[r]) for r in range(1, K + 1)) / total
-    return 1 - kept - (total - sum(r * int(stats[r]) for r in range(1, K + 1))) / total
+    return run
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for (doc_id, train, text) rows."""
-    spark = docs.sparkSession
-    width = partitions(spark)
-    made = materialize(batches(docs, SPOTS), "batches", compression="none")
-    totals = made.agg(F.sum("n_tokens"), F.sum("n_words")).first()
-    n_words, n_pairs = min(SPOTS, max(width, -(-(totals[1] or 0) // WORDS))), max(width, -(-(totals[0] or 0) // PAIRS))
-    replies = materialize(count_words(made, n_words), "words", compression="none")
-    stats = summed_stats(replies)
-    total, types = int(stats[-1]), int(stats[1 : K + 3].sum())
-    d1 = good_turing([int(x) for x in stats[: K + 2]])
-    spare = unseen_mass(stats, total, d1)
-    if total and spare <= 0:
-        d1 = np.r_[1.0, np.full(K, 1 - 1 / (total + types + 1))]
-        spare = unseen_mass(stats, total, d1)
-    if total and spare <= 0:  # no count is small enough to discount
-        spare = 1 / (total + types + 1)
-    hot = max(HOT, int(total * SHARE))
-
-    def pairs(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for row in left.itertuples():
-            ids, train, size, tokens, spots = (unpack(x)[0] for x in (row.docs, row.train, row.sizes, row.tokens, row.spots))
-            end = int(np.flatnonzero(spots == SPOTS)[0])
-            spots[end] = END % np.uint64(SPOTS)
-            number, count = np.zeros(len(spots), np.int64), np.zeros(len(spots), np.int64)
-            reply = {int(r.bucket): unpack(r.data) for r in right.itertuples()}
-            for b, at in by_bucket(spots.astype(np.int64) % n_words, n_words):
-                number[at], count[at] = reply[b]
-            size, tokens = size.astype(np.int64), tokens.astype(np.int64)
-            first = np.cumsum(size) - size
-            c = count[tokens]
-            base = np.add.reduceat(np.log10((c + 1) / (total + types + 1)), first)
-            known = np.add.reduceat((c > 0).astype(np.int64), first)
-            rows.append(("docs", int(row.batch_id % n_pairs), row.batch_id, pack(ids, train, small(size), small(known), base)))
-            before = np.empty_like(tokens)
-            before[1:] = tokens[:-1]
-            before[first] = end
-            of = np.repeat(np.arange(len(size)), size)
-            wb, db = max(1, int(len(spots) - 1).bit_length()), max(1, int(len(size) - 1).bit_length())
-            code = np.sort((before << (wb + db)) | (tokens << db) | of)  # 2 * 24 + 15 bits at most, as BATCH bounds words
-            new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            times, doc, pair = np.diff(np.r_[new, len(code)]), code[new] & ((1 << db) - 1), code[new] >> db
-            head = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-            holders = np.diff(np.r_[head, len(pair)])
-            learned = np.add.reduceat(times * train[doc], head)
-            u, w = pair[head] >> wb, pair[head] & ((1 << wb) - 1)
-            spot = number[u].astype(np.uint64)
-            spot = mix(np.where(count[u] >= hot, spot ^ mix(number[w].astype(np.uint64)), spot))
-            bucket = (spot % np.uint64(n_pairs)).astype(np.int64)
-            for b, at in by_bucket(bucket, n_pairs):
-                many = holders[at]
-                where = np.repeat(head[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-                ux, run = np.unique(u[at], return_counts=True)
-                rows.append(("pairs", b, row.batch_id, pack(small(number[ux]), small(count[ux]), small(run), small(number[w[at]]), small(count[w[at]]), small(learned[at]), small(many), small(doc[where]), small(times[where]))))
-        return _frame(rows)
+def count_grams(model: Model, n: int):
+    """A bucket's counts: kinds ``reply`` for each batch, ``model``, ``stats`` and ``hot``."""
 
-    def resolve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(key[0])
-        rows = [("docs", b, r.batch_id, r.data) for r in pdf[pdf["kind"] == "docs"].itertuples()]
-        asked = pdf[pdf["kind"] == "pairs"]
-        got = [unpack(x) for x in asked["data"]]
-        if not got:
-            return _frame(rows)
-        join = lambda k: np.concatenate([g[k].astype(np.int64) for g in got])
-        u = np.concatenate([np.repeat(g[0].astype(np.int64), g[2]) for g in got])
-        cu = np.concatenate([np.repeat(g[1].astype(np.int64), g[2]) for g in got])
-        w, cw, learned = join(3), join(4), join(5)
-        order = np.lexsort((w, u)) if max(u.max(), w.max()) >= 1 << 31 else np.argsort((u << 32) | w)
-        new = np.r_[True, (np.diff(u[order]) != 0) | (np.diff(w[order]) != 0)]
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        b, got = int(key[0]), [unpack(x) for x in pdf["data"]]
+        join = lambda k: np.concatenate([g[k] for g in got]).astype(np.int64)
+        many, divisor, hot, w, below, learned = (join(k) for k in range(6))
+        words = [join(k) for k in range(6, 5 + n)]
+        # histories of all runs, told apart by their words
+        order = np.lexsort(words[::-1])
+        new = np.r_[True, np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in words])]
+        history = np.empty(len(order), np.int64)
+        history[order] = np.cumsum(new) - 1
+        one = order[new]  # a run of each history
+        run_of = np.repeat(np.arange(len(many)), many)
+        entry = history[run_of]
+        order = np.lexsort((w, entry)) if w.max() >= 1 << 40 else np.argsort((entry << 40) | w)
+        new = np.r_[True, (np.diff(entry[order]) != 0) | (np.diff(w[order]) != 0)]
         head = np.flatnonzero(new)
         count = np.add.reduceat(learned[order], head)
-        c = np.empty(len(u), np.int64)
+        c = np.empty(len(w), np.int64)
         c[order] = count[np.cumsum(new) - 1]
-        ku, kw, kcw, kcu = (x[order][head] for x in (u, w, cw, cu))
+        of, lower = entry[order][head], below[order][head]
         seen = count > 0
-        rows.append(("stats", b, -1, pack(np.r_[np.bincount(np.minimum(count, K + 2), minlength=K + 3), count.sum()].astype("<i8"))))
-        rows.append(("model", b, -1, pack(small(ku[seen]), small(kw[seen]), small(count[seen]))))
-        # per history: seen pairs with counts 1..K, tokens of larger counts, mass of the seen words
-        start = np.flatnonzero(np.r_[True, np.diff(ku) != 0])
-        sums = np.stack([np.add.reduceat(x, start) for x in (*((count == r).astype(float) for r in range(1, K + 1)), np.where(count > K, count, 0).astype(float), np.where(seen, unigram(kcw, total, d1, spare), 0.0))], 1)
-        names, of_hist = ku[start], kcu[start]
-        for name, s in zip(names[of_hist >= hot], sums[of_hist >= hot], strict=True):
-            rows.append(("hot", b, int(name), pack(s)))
-        term = np.where(c > 0, np.log10(np.maximum(c, 1) / (cu + 1)), np.log10(unigram(cw, total, d1, spare)))
-        at = 0
-        for batch, g in zip(asked["batch_id"], got, strict=True):
-            z = at + len(g[3])
-            many, doc, times = g[6].astype(np.int64), g[7].astype(np.int64), g[8].astype(np.int64)
-            t, cc = np.repeat(term[at:z], many), np.repeat(c[at:z], many)
-            found, slot = np.unique(doc, return_inverse=True)
-            total_term = np.bincount(slot, t * times)
-            low = [small(np.bincount(slot, times * (cc == r), len(found)).astype(np.int64)) for r in range(1, K + 1)]
-            miss = np.flatnonzero(cc == 0)
-            hist = np.repeat(u[at:z], many)[miss]
-            at_hist = np.searchsorted(names, hist)
-            used, which = np.unique(at_hist, return_inverse=True)
-            rows.append(("part", b, batch, pack(small(found), total_term.astype("<f4"), *low, small(doc[miss]), small(times[miss]), small(which), small(names[used]), small(of_hist[used]), *(small(sums[used, r].astype(np.int64)) for r in range(K + 1)), sums[used, K + 1])))
-            at = z
+        p = model.unigram(lower) if n == 2 else discounted(lower, model.d[n - 1]) / np.maximum(divisor[one[of]], 1)
+        size = len(one)
+        least = np.full(size, K + 1)
+        np.minimum.at(least, of[seen], np.minimum(count[seen], K + 1))
+        sums = np.stack([*(np.bincount(of[count == r], minlength=size) for r in range(1, K + 1)), np.bincount(of[seen], p[seen], size)], 1)
+        rows = [("stats", b, -1, pack(counted(count)), None, None)]
+        at_seen = of[seen]
+        kept, runs = np.unique(at_seen, return_counts=True)
+        rows.append(("model", b, -1, pack(small(runs), small(w[order][head][seen]), small(count[seen]), *(small(x[one[kept]]) for x in words)), None, None))
+        for h in np.flatnonzero(hot[one] > 0):
+            rows.append(("hot", b, -1, None, [int(x[one[h]]) for x in words], [*sums[h], float(least[h])]))
+        missed = np.zeros(len(many), bool)
+        missed[run_of[c == 0]] = True
+        missed &= (np.bincount(of[seen], minlength=size) > 0)[history] & (hot == 0)
+        r = e = 0
+        for batch, g in zip(pdf["batch_id"], got, strict=True):
+            rs, es = slice(r, r + len(g[0])), slice(e, e + len(g[3]))
+            r, e = rs.stop, es.stop
+            asked = sums[history[rs][missed[rs]]]
+            rows.append(("reply", b, batch, pack(small(c[es]), least[history[rs]].astype("u1"), missed[rs].astype("u1"), *(small(asked[:, x].astype(np.int64)) for x in range(K)), asked[:, K]), None, None))
         trim()
-        return _frame(rows)
+        return pd.DataFrame(rows, columns=["kind", "bucket", "batch_id", "data", "history", "sums"]).astype({"bucket": "int64", "batch_id": "int64"})
+
+    return run
+
+
+def weights(sums: np.ndarray, total: np.ndarray, plus: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """log10 of backoff weights; sums: how many words have each count 1..K, and their mass in the order below."""
+    r = np.arange(1, K + 1)
+    kept = (sums[:, :K] * r * d[1:]).sum(1) + total - (sums[:, :K] * r).sum(1)
+    return np.log10((1 - kept / (total + plus)) / np.maximum(1 - sums[:, K], 1e-300))
+
+
+def answered(batch: Batch, replies: pd.DataFrame, n: int, n_buckets: int, hot: dict[tuple, list[float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(counts by entry, what is added to totals by run, weights by run) of a level from its replies."""
+    level, d = batch.level(n), batch.model.d[n]
+    counts, least = np.zeros(len(level.pos), np.int64), np.full(len(level.head), K + 1)
+    sums, missed = np.zeros((len(level.head), K + 1)), np.zeros(len(level.head), bool)
+    reply = {int(r.bucket): r.data for r in replies.itertuples()}
+    for b, at in by_bucket(level.buckets(batch, n_buckets), n_buckets):
+        c, low, miss, *rest = unpack(reply[b])
+        counts[at] = c
+        runs = np.unique(level.run[at])
+        least[runs] = low
+        missed[runs[miss > 0]] = True
+        sums[runs[miss > 0]] = np.stack([x.astype(float) for x in rest], 1)
+    for r in np.flatnonzero(level.hot):
+        got = hot[tuple(int(batch.number[w[r]]) for w in level.before)]
+        sums[r], least[r], missed[r] = got[: K + 1], got[K + 1], True
+    plus = ((level.total > 0) & (least > batch.model.top(n))).astype(np.int64)
+    weight = np.zeros(len(level.head))
+    missed &= level.total > 0
+    weight[missed] = weights(sums[missed], level.total[missed], plus[missed], d)
+    return counts, plus, weight
 
-    replied = replies.filter("kind = 'reply'").select("batch_id", "bucket", "data")
-    sent = made.drop("words", "counts").groupBy("batch_id").cogroup(replied.groupBy("batch_id")).applyInPandas(pairs, PARTS)
-    resolved = sent.groupBy("bucket").applyInPandas(resolve, PARTS)
-    model = materialize(resolved, "katz", by=("kind",), compression="none")
-    release(made, replies)
-    two = summed_stats(model)
-    d2 = good_turing([int(x) for x in two[: K + 2]])
-    merged: dict[int, np.ndarray] = {}
-    for r in model.filter("kind = 'hot'").select("batch_id", "data").toLocalIterator():  # at most 1 / SHARE histories
-        merged[r.batch_id] = merged.get(r.batch_id, 0) + unpack(bytes(r.data))[0]
-    loads = spark.sparkContext.broadcast(merged)
-
-    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        log_d = np.log10(d2[1:])
-        [docs_row] = pdf[pdf["kind"] == "docs"]["data"]
-        ids, train, size, known, base = unpack(docs_row)
-        out = np.zeros(len(ids))
-        for data in pdf[pdf["kind"] == "part"]["data"]:
-            g = unpack(data)
-            found, term, low = g[0].astype(np.int64), g[1], g[2 : 2 + K]
-            np.add.at(out, found, term + sum(n * x for n, x in zip(low, log_d, strict=True)))
-            doc, times, which, names, cu = g[2 + K : 7 + K]
-            if not len(doc):
-                continue
-            s = np.stack([x.astype(float) for x in g[7 + K :]], 1)
-            for i in np.flatnonzero(cu >= hot):
-                s[i] = loads.value[int(names[i])]
-            kept = (s[:, :K] * (d2[1:] * np.arange(1, K + 1))).sum(1) + s[:, K]
-            weight = np.log10((1 - kept / (cu + 1.0)) / np.maximum(1 - s[:, K + 1], 1e-300))
-            np.add.at(out, doc.astype(np.int64), weight[which] * times)
-        return pd.DataFrame({"doc_id": ids, "n_tokens": size.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": np.full(len(ids), total), "base_score": base, "score": out})
-
-    parts = model.filter("kind in ('docs', 'part')").select("kind", "batch_id", "data")
-    ready = parts.groupBy("batch_id").applyInPandas(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return ready.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for (doc_id, train, text) rows."""
+    spark = docs.sparkSession
+    width = partitions(spark)
+    state = materialize(batches(docs), "batches", compression="none")
+    made = state.agg(F.sum("n_tokens"), F.sum("n_words"), F.count(F.lit(1))).first()
+    n_words, n_buckets, n_batches = max(width, -(-(made[1] or 0) // WORDS)), max(width, -(-(made[0] or 0) // PAIRS)), max(width, made[2])
+    replies = materialize(count_words(state, n_words), "words", by=("kind",), arrow_rows=1, compression="none")
+    model = Model(summed_stats(replies))
+
+    def number(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        [words] = [unpack(x)[0] for x in left["words"]]
+        out, reply = np.zeros((2, len(words)), np.int64), {int(r.bucket): r.data for r in right.itertuples()}
+        for b, at in by_bucket(word_bucket(words, n_words), n_words):
+            out[:, at] = unpack(reply[b])
+        return left.assign(words=[pack(small(out[0]), small(out[1]))])
+
+    def with_replies(step, schema: str) -> DataFrame:
+        """Each batch of the state with its replies."""
+        asked = replies.filter("kind = 'reply'").select("batch_id", "bucket", "data")
+        sides = (x.repartition(n_batches, "batch_id").groupBy("batch_id") for x in (state, asked))
+        left, right = sides
+        return left.cogroup(right).applyInPandas(step, schema)
+
+    state, old = materialize(with_replies(number, STATE), "batches", compression="none"), state
+    release(old)
+    release(replies, part="kind=reply")
+    for n in range(2, ORDER + 1):
+        shares = []
+        for share in range(PASSES):
+            asked = state.mapInPandas(ask_grams(model, n, n_buckets, share), PARTS)
+            counts = asked.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(count_grams(model, n), COUNTS)
+            shares.append(materialize(counts, f"katz-{n}", by=("kind",), arrow_rows=1, compression="none"))
+        replies = shares[0]
+        for more in shares[1:]:
+            replies = replies.unionByName(more)
+        model.d.append(good_turing([int(x) for x in summed_stats(replies)[: K + 2]]))
+        # at most 1 / SHARE histories are hot
+        parts = replies.filter("kind = 'hot'").groupBy("history").agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(K + 1)), F.min(F.col("sums")[K + 1]).alias("least"))
+        hot = spark.sparkContext.broadcast({tuple(r.history): list(r)[1:] for r in parts.collect()})
+
+        def keep(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            [row] = left.itertuples()
+            counts, plus, weight = answered(Batch(row, model), right, n, n_buckets, hot.value)
+            before = unpack(row.levels) if row.levels else []
+            trim()
+            return left.assign(levels=[pack(*before, small(counts), small(plus), weight)])
+
+        def finish(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            [row] = left.itertuples()
+            batch = Batch(row, model)
+            batch.add(n, *answered(batch, right, n, n_buckets, hot.value))
+            c = batch.count[batch.tokens]
+            total = lambda x: np.add.reduceat(x, batch.first)
+            base = total(np.log10((c + 1) / (model.total + model.types + 1)))
+            out = {"doc_id": batch.ids, "no_id": batch.null > 0, "n_tokens": batch.size, "n_known": total((c > 0).astype(np.int64)), "train_tokens": np.full(len(batch.ids), model.total), "base_score": base, "score": total(batch.logs(n)[batch.grams[n]])}
+            trim()
+            return pd.DataFrame(out)
+
+        if n < ORDER:
+            state, old = materialize(with_replies(keep, STATE), "batches", compression="none"), state
+            release(old)
+            release(*shares, part="kind=reply")
+    scored = with_replies(finish, "doc_id long, no_id boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

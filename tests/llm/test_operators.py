@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with the awkward cases in them."""
 
 import collections
+import functools
 import math
 import random
 import zlib
@@ -151,51 +152,72 @@ def test_language_cases(spark):
 
 
 def brute_katz(docs):
-    """Scores of (train, tokens) documents by the definition, with the discounts found the same way."""
-    uni, bi = collections.Counter(), collections.Counter()
+    """Scores of (train, tokens) documents by the definition, for order 3, with the discounts found the same way."""
+    end = "\0end"
+    grams = {n: collections.Counter() for n in (1, 2, 3)}
     for train, tokens in docs:
         if train:
-            uni.update(tokens)
-            bi.update(zip([None, *tokens][:-1], tokens, strict=True))
-    n, v = sum(uni.values()), len(uni)
-    end = "\0end"
-    bi = collections.Counter({(end if u is None else u, w): c for (u, w), c in bi.items()})
-    counts = lambda c: [0] + [sum(x == r for x in c.values()) for r in range(1, katz.K + 2)]
-    d1, d2 = katz.good_turing(counts(uni)), katz.good_turing(counts(bi))
-    disc = lambda d, c: d[c] if c <= katz.K else 1.0
-    spare = 1 - sum(disc(d1, c) * c for c in uni.values()) / n
-    p1 = lambda w: disc(d1, uni[w]) * uni[w] / n if uni[w] else spare
-    follow = collections.defaultdict(list)
-    for (u, w), c in bi.items():
-        follow[u].append((w, c))
-
-    def p2(w, u):
-        if bi[u, w]:
-            return disc(d2, bi[u, w]) * bi[u, w] / (uni[u] + 1)
-        kept = sum(disc(d2, c) * c / (uni[u] + 1) for _, c in follow[u])
-        return (1 - kept) / (1 - sum(p1(x) for x, _ in follow[u])) * p1(w)
-
-    for u in list(follow)[:20]:  # a history sums to one over seen words and the unseen class
-        assert sum(p2(w, u) for w in uni) + p2("\0new", u) == pytest.approx(1)
-    base = [sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t) for _, t in docs]
-    return n, base, [sum(math.log10(p2(w, u)) for u, w in zip([end, *t][:-1], t, strict=True)) for _, t in docs]
+            padded = [end, end, *tokens]
+            for n in grams:
+                grams[n].update(tuple(padded[t - n + 1 : t + 1]) for t in range(2, len(padded)))
+    total, types = sum(grams[1].values()), len(grams[1])
+    d = {n: katz.good_turing([0] + [sum(x == r for x in c.values()) for r in range(1, katz.K + 2)]) for n, c in grams.items()}
+    disc = lambda n, c: c * (d[n][c] if c <= katz.K else 1.0)
+    spare = 1 - sum(disc(1, c) for c in grams[1].values()) / total
+    after = {2: collections.defaultdict(list), 3: collections.defaultdict(list)}
+    for n in after:
+        for g, c in grams[n].items():
+            after[n][g[:-1]].append((g[-1], c))
+    sums = {n: {h: sum(c for _, c in ws) + all(d[n][min(c, katz.K)] == 1 or c > katz.K for _, c in ws) for h, ws in x.items()} for n, x in after.items()}
+
+    @functools.cache
+    def weight(h):
+        n = len(h) + 1
+        seen = after[n][h]
+        return (1 - sum(disc(n, c) for _, c in seen) / sums[n][h]) / (1 - sum(p(w, h[1:]) for w, _ in seen))
+
+    @functools.cache
+    def p(w, h):
+        n = len(h) + 1
+        if n == 1:
+            return disc(1, grams[1][(w,)]) / total if grams[1][(w,)] else spare
+        if h not in sums[n]:
+            return p(w, h[1:])
+        c = grams[n][(*h, w)]
+        return disc(n, c) / sums[n][h] if c else weight(h) * p(w, h[1:])
+
+    for n in after:  # a history sums to one over all words and the unseen class
+        for h in list(after[n])[:20]:
+            assert sum(p(w, h) for (w,) in grams[1]) + p("\0new", h) == pytest.approx(1)
+    base = [sum(math.log10((grams[1][(w,)] + 1) / (total + types + 1)) for w in t) for _, t in docs]
+    score = [sum(math.log10(p(t[i], tuple([end, end, *t][i : i + 2]))) for i in range(len(t))) for _, t in docs]
+    return total, base, score
 
 
 @pytest.mark.parametrize("hot", [1 << 20, 3])
 def test_katz(spark, monkeypatch, hot):
     monkeypatch.setattr(katz, "HOT", hot)
     monkeypatch.setattr(katz, "BATCH", 3000)
-    texts = [prose(80, i % 25) if i % 3 else "a b\ta " * 20 + prose(10, i) for i in range(60)] + ["", None, "One ONE\x0bone", "q" * 5000]
-    rows = [(i, i % 7 != 2, t) for i, t in enumerate(texts)] + [(None, False, "a b")]
-    got = {r.doc_id: r for r in katz.score(frame(spark, rows, "doc_id long, train boolean, text string")).collect()}
+    monkeypatch.setattr(katz, "PAIRS", 400)
+    texts = [prose(80, i % 25) if i % 3 else "a b\ta " * 20 + prose(10, i) for i in range(60)] + ["", None, "One ONE\x0bone", "q" * 5000, "a b a c zz a b"]
+    rows = [(i, i % 7 != 2, t) for i, t in enumerate(texts)] + [(None, False, "a b"), (-(1 << 63), True, "a b c")]
+    got = {r.doc_id: r for r in katz.score(clashing(frame(spark, rows, "doc_id long, train boolean, text string"))).collect()}
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
     n, base, score = brute_katz([(train, [*low(t), "\0end"]) for _, train, t in rows])
     assert len(got) == len(rows) and got[0].train_tokens == n
     for (i, _, t), b, s in zip(rows, base, score, strict=True):
-        assert got[i].base_score == pytest.approx(b, rel=1e-9) and got[i].score == pytest.approx(s, rel=1e-4)
+        assert got[i].base_score == pytest.approx(b, rel=1e-9) and got[i].score == pytest.approx(s, rel=1e-9)
         assert got[i].n_tokens == len(low(t)) + 1
 
 
+def test_katz_packing():
+    arrays = [np.arange(300, dtype="<u2"), np.zeros(0, "<u1"), np.array([1.5, -2.0]), np.array([1 << 40], "<u8")]
+    back = katz.unpack(katz.pack(*arrays))
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(arrays, back, strict=True))
+    value, pos, rank = katz.grouped(np.array([5, 3, 5, 1 << 62, 3]))
+    assert value.tolist() == [3, 5, 1 << 62] and rank.tolist() == [1, 0, 1, 2, 0] and sorted(pos.tolist()) == [0, 1, 3]
+
+
 def test_katz_empty(spark):
     ddl = "doc_id long, train boolean, text string"
     assert katz.score(frame(spark, [], ddl)).count() == 0
