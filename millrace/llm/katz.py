@@ -240,6 +240,13 @@ class Model:
         return int((self.d[n][1:] < 1).sum())
 
 
+def changes(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return new
+
+
 def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct ascending values, a position of each, each position's rank) of non-negative integers."""
     bits = max(1, (len(values) - 1).bit_length())
@@ -249,9 +256,9 @@ def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     else:
         pos = np.argsort(values, kind="stable")
         value = values[pos]
-    new = np.r_[True, value[1:] != value[:-1]] if len(value) else np.zeros(0, bool)
-    rank = np.empty(len(values), np.int64)
-    rank[pos] = np.cumsum(new) - 1
+    new = changes(value)
+    rank = np.empty(len(values), np.int32)
+    rank[pos] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return value[new], pos[new], rank
 
 
@@ -265,8 +272,8 @@ class Level:
         history[batch.first] = 0
         value, self.pos, batch.grams[n] = grouped(history * len(batch.number) + batch.tokens)
         of = value // len(batch.number)
-        new = np.r_[True, of[1:] != of[:-1]]
-        self.run, self.head = np.cumsum(new) - 1, np.flatnonzero(new)
+        new = changes(of)
+        self.run, self.head = np.cumsum(new, dtype=np.int32) - np.int32(1), np.flatnonzero(new)
         self.suffix = below[self.pos]
         # a history's total is its own count as a gram; that of no words is the count of the end token
         self.total = np.where(of[new] > 0, batch.counts[n - 1][np.maximum(of[new] - 1, 0)], batch.count[batch.end])
@@ -290,8 +297,9 @@ class Batch:
     def __init__(self, row, model: Model):
         self.model, self.end = model, int(row.end)
         self.null, self.ids, self.train, size, tokens = (unpack(x)[0] for x in (row.nulls, row.docs, row.train, row.sizes, row.tokens))
-        self.size, self.tokens = size.astype(np.int64), tokens.astype(np.int64)
+        self.size, self.tokens = size.astype(np.int64), tokens.astype(np.int32)
         self.first = np.cumsum(self.size) - self.size
+        self.start = np.repeat(self.first.astype(np.int32), self.size)
         self.number, self.count = (x.astype(np.int64) for x in unpack(row.words))
         self.grams: dict[int, np.ndarray] = {1: self.tokens}
         self.counts: dict[int, np.ndarray] = {1: self.count}
@@ -304,8 +312,7 @@ class Batch:
             self.add(i // 3 + 2, *known[i : i + 3])
 
     def word_before(self, pos: np.ndarray, k: int) -> np.ndarray:
-        start = self.first[np.searchsorted(self.first, pos, "right") - 1]
-        return np.where(pos - k >= start, self.tokens[np.maximum(pos - k, 0)], self.end)
+        return np.where(pos - k >= self.start[pos], self.tokens[np.maximum(pos - k, 0)], self.end)
 
     def level(self, n: int) -> Level:
         if n not in self.levels:
@@ -340,10 +347,12 @@ def ask_grams(model: Model, n: int, n_buckets: int, share: int):
                 rows = []
                 for b, at in by_bucket(level.buckets(batch, n_buckets), n_buckets):
                     if b % PASSES == share:
-                        runs, many = np.unique(level.run[at], return_counts=True)
+                        new = np.flatnonzero(changes(level.run[at]))
+                        runs, many = level.run[at[new]], np.diff(np.r_[new, len(at)])
                         rows.append(("ask", b, row.batch_id, pack(small(many), small(divisor[runs]), level.hot[runs].astype("u1"), small(batch.number[level.word[at]]), small(below[at]), small(learned[at]), *(small(batch.number[w[runs]]) for w in level.before))))
+                del batch, level
                 yield _frame(rows)
-                trim()
+        trim()
 
     return run
 
@@ -414,7 +423,8 @@ def answered(batch: Batch, replies: pd.DataFrame, n: int, n_buckets: int, hot: d
     for b, at in by_bucket(level.buckets(batch, n_buckets), n_buckets):
         c, low, miss, *rest = unpack(reply[b])
         counts[at] = c
-        runs = np.unique(level.run[at])
+        runs = level.run[at]
+        runs = runs[changes(runs)]
         least[runs] = low
         missed[runs[miss > 0]] = True
         sums[runs[miss > 0]] = np.stack([x.astype(float) for x in rest], 1)
