@@ -13,8 +13,10 @@ hash, ``STARS`` times over. What then still is of different classes within a buc
 buckets (many random subsets of registers, ``FINE``), which find the closest pairs first and leave few classes
 apart. The rest gets an exact set-similarity join: shingles are put in order of their frequency, rarest first,
 and two texts of different classes can be similar only if they share one of the first n - ceil(0.8 n) + 1. Texts
-that are connected by such shingles are compared in blocks, each pair of blocks by one product of incidence
-matrices. So a class comes from all links, while no pairs of a group are listed: links are all that comes out.
+meet only under a shingle that they share so. For shingles with few texts, pairs whose lengths and places allow the
+similarity are verified. Texts with more frequent ones are put in blocks by the most frequent of them, and two blocks
+that share such a shingle are compared by one product of incidence matrices. So a class comes from all links, while
+no pairs of an unbounded group are listed.
 
 Null text counts as empty. Texts of one to four words have all their words as one shingle; texts without words
 are classes with their equal texts only. Texts are taken whole. A class is named by its smallest key; rows
@@ -45,8 +47,8 @@ REGISTERS = BANDS * DEPTH
 STARS = 2
 #: (registers, subsets) of the rounds on what is still apart.
 FINE = ((24, 200), (20, 200), (16, 200))
-#: Texts of a block, and columns of one product.
-TILE, WIDTH = 256, 4096
+#: Texts of a block, also the most that a rare shingle has; columns of one product; rare entries taken together.
+TILE, WIDTH, CELL = 256, 4096, 4096
 #: Rows of a batch that goes to Python, which bounds the shingles held at once.
 ROWS = 1000
 SEED = np.uint64(0x5851F42D4C957F2D)
@@ -265,25 +267,61 @@ def rest_links(rest: DataFrame, texts: DataFrame, least: float = SIMILARITY) ->
     order = W.partitionBy("node").orderBy("often", "token")
     place = F.row_number().over(order) + F.col("n") - F.count(F.lit(1)).over(W.partitionBy("node"))
     prefix = rows.join(often, "token").withColumn("place", place).filter(F.col("apart") & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1))
-    prefix = materialize(prefix.select("token", "node"), "prefixes")
-    edges = prefix.join(prefix.groupBy("token").agg(F.min("node").alias("b")), "token").select(F.col("node").alias("a"), "b")
-    groups = components(edges).withColumnRenamed("component", "cluster")
-    sizes = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    blocks = groups.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    tiles = made.join(blocks, "node").select("cluster", "node", "component", "tokens", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o"))
-    tiles = tiles.select("cluster", F.least("block", "_o").alias("x"), F.greatest("block", "_o").alias("y"), "block", "node", "component", "tokens")
+    prefix = materialize(prefix.select("token", "node", "place"), "prefixes")
+    sizes = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
+    prefix = materialize(prefix.join(sizes, "token"), "prefixes")
+    facts = made.select("node", "component", F.size("tokens").alias("n"))
+    few = prefix.filter(F.col("texts") <= TILE)
+    cells = max(1, -(-few.count() // CELL))
+    rows = few.join(facts, "node").select(F.pmod(F.xxhash64("token"), F.lit(cells)).alias("cell"), "token", "node", "component", "n", "place")
+    pairs = materialize(rows.groupBy("cell").applyInPandas(lambda pdf: cell_pairs(pdf, least), "a long, b long").distinct(), "pairs")
+    links = verify(pairs, texts, least)
+
+    many = prefix.filter(F.col("texts") > TILE)
+    anchors = many.groupBy("node").agg(F.max_by("token", F.struct("texts", "token")).alias("anchor"))
+    sizes = anchors.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    shared = max(1, -(-anchors.count() // TILE))
+    # an anchor with few texts shares its block with others
+    block = F.when(F.col("blocks") > 1, F.struct(F.col("anchor").alias("g"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("s")))
+    block = block.otherwise(F.struct(F.pmod(F.xxhash64("anchor"), F.lit(shared)).alias("g"), F.lit(-1).alias("s")))
+    blocks = materialize(anchors.join(sizes, "anchor").select("node", block.alias("block")), "blocks")
+    spots = materialize(many.join(blocks, "node").select("token", "block").distinct(), "spots")
+    tiles = spots.withColumnRenamed("block", "x").join(spots.withColumnRenamed("block", "y"), "token").filter("x <= y").select("x", "y").distinct()
+    members = blocks.join(made, "node")
+    left = tiles.withColumn("block", F.col("x")).join(members, "block").withColumn("first", F.lit(True))
+    right = tiles.filter("x < y").withColumn("block", F.col("y")).join(members, "block").withColumn("first", F.lit(False))
+    sides = left.unionByName(right).select(F.col("x.g").alias("xg"), F.col("x.s").alias("xs"), F.col("y.g").alias("yg"), F.col("y.s").alias("ys"), "first", "node", "component", "tokens")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, x, y = (int(k) for k in key)
-        sides = []
-        for b in (x, y):
-            part = pdf[pdf["block"] == b]
-            sides.append((part["component"].to_numpy(), list(part["tokens"]), part["node"].to_numpy()))
-        (ca, ta, a), (cb, tb, b) = sides
-        i, j = block_links((ca, ta), (cb, tb), x == y, least) if len(ta) and len(tb) else (np.zeros(0, int), np.zeros(0, int))
+        same = tuple(key[:2]) == tuple(key[2:])
+        parts = [pdf[pdf["first"]], pdf if same else pdf[~pdf["first"]]]
+        (ca, ta, a), (cb, tb, b) = ((p["component"].to_numpy(), list(p["tokens"]), p["node"].to_numpy()) for p in parts)
+        i, j = block_links((ca, ta), (cb, tb), same, least)
         return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
 
-    return tiles.groupBy("cluster", "x", "y").applyInPandas(compare, "a long, b long")
+    links = links.unionByName(sides.groupBy("xg", "xs", "yg", "ys").applyInPandas(compare, "a long, b long"))
+    out = materialize(links.distinct(), "links", arrow_rows=ROWS)
+    release(made, prefix, pairs, blocks, spots)
+    return out
+
+
+def cell_pairs(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """(a, b) of nodes of different components that share a token of the rows and can be similar.
+
+    Two texts whose first common token has places i and j share at most 1 + min(n_a - i, n_b - j) tokens.
+    """
+    pdf = pdf.sort_values(["token", "node"])
+    token, node, component, n, place = (pdf[c].to_numpy() for c in ("token", "node", "component", "n", "place"))
+    out = []
+    for step in range(1, len(token)):
+        i = np.flatnonzero(token[step:] == token[:-step])
+        if not len(i):
+            break
+        j = i + step
+        need = np.ceil(least / (1 + least) * (n[i] + n[j]) - 1e-9)
+        fits = (component[i] != component[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) + 1 >= need)
+        out.append(pd.DataFrame({"a": node[i[fits]], "b": node[j[fits]]}))
+    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []})
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -322,7 +360,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             found = materialize(verify(pairs, texts, least), "links", arrow_rows=ROWS)
             release(pairs)
         else:
-            found = materialize(rest_links(rest, texts, least), "links")
+            found = rest_links(rest, texts, least)
         links = found if links is None else links.unionByName(found)
         done.append(found)
         labels, old = components(links), labels

@@ -467,8 +467,9 @@ def brute_classes(rows):
     return sorted(((d, least[of[t or ""]]) for d, t in rows), key=str)
 
 
-@pytest.mark.parametrize("stars,fine,tile", [(2, neardup.FINE, 256), (0, (), 16)])
+@pytest.mark.parametrize("stars,fine,tile", [(2, neardup.FINE, 256), (0, (), 4), (0, (), 256)])
 def test_near_duplicates(spark, monkeypatch, stars, fine, tile):
+    monkeypatch.setattr(neardup, "CELL", 64)
     monkeypatch.setattr(neardup, "STARS", stars)
     monkeypatch.setattr(neardup, "FINE", fine)
     monkeypatch.setattr(neardup, "TILE", tile)
