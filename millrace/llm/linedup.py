@@ -1,34 +1,53 @@
 """Line dedup with a log-template tree, in DataFrame functions only.
 
-A line is its tokens (white space apart); a run of digits is a variable field. The tree has fixed depth: number
-of tokens, then the first ``LEAD`` tokens. At a leaf a line belongs to its exact template (all tokens, variable
-fields left open) and, from ``LONG`` tokens on, to ``RUNS`` more, in each of which one run of an eighth of its
-tokens is left open too; lines of a leaf that differ in one run share that template. Two such lines agree in the
-first or the second half of their runs, so the wider templates are made only for lines that share a half with
-another line; the rest cannot have a partner.
+A line is its tokens (white space apart); a run of digits is a variable field. The tree has fixed depth: number of
+tokens, then the first ``LEAD`` tokens, then a leaf. A line belongs to its exact template (all tokens, variable
+fields left open) and to ``RUNS`` wider ones, in each of which one run of an eighth of its tokens (for short lines
+one token) is left open too; where the open run holds a leading token, the tree has one branch for all its values.
+Lines that differ in one run share that template. Two such lines agree in the first or the second half of their runs,
+so the wider templates are made only for lines that share a half with enough others; the rest cannot have a partner.
 
 A template recurs if enough documents have it: two for lines of ``LONG`` tokens or more, ``OFTEN`` for shorter
 ones; lines under ``LEAST`` tokens are never dropped. The first document that has it (smallest doc_id, null
 ids last, then smallest text hash) keeps its lines, all other documents lose them.
 
-Null text counts as empty. Rows with equal doc_id and text are one document: they keep or lose the same lines.
-Texts are taken whole; lines end at \\n, and what is kept is joined by \\n. Empty tables give no rows; columns
-with clashing names do no harm. Joins are merge joins at every size, as on tables that are too large to broadcast.
+Templates and documents are told apart by 128-bit hashes. Null text counts as empty. Rows with equal doc_id and text
+are one document: they keep or lose the same lines. Texts are taken whole; lines end at \\n, and what is kept is
+joined by \\n. Empty tables give no rows; columns with clashing names do no harm. Joins are merge joins at every size,
+as on tables that are too large to broadcast.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import let, materialize, release
 
-LEAD, RUNS = 2, 8
-LEAST, LONG, OFTEN = 5, 20, 8
+RUNS = 8
+
+
+class Limits(NamedTuple):
+    """Tokens of the shortest line that can go, of a long line, and documents that make a shorter one recur."""
+
+    least: int = 5
+    long: int = 20
+    often: int = 8
+
+
+LIMITS = Limits()
+
+
+def hash128(*columns) -> Column:
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
 
 
 def row_key() -> Column:
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    """(id, hash of the text) of a document, in the order that decides who keeps a line."""
+    text = F.coalesce("text", F.lit(""))
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
 def lines(text: Column) -> Column:
@@ -42,55 +61,58 @@ def tokens(line: Column) -> Column:
     return F.array_remove(F.split(even, " "), "")
 
 
-def _describe(at: Column, t: Column) -> Column:
+def _describe(at: Column, t: Column, least: int) -> Column:
     n = F.size(t)
     edge = lambda j: F.floor(j * n / RUNS).cast("int")
-    runs = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda j: F.hash(F.slice(t, edge(j) + 1, edge(j + 1) - edge(j))))
-    short = F.array(F.hash(t), F.hash(F.reverse(t)))
-    return F.struct(at.alias("at"), n.alias("n"), F.xxhash64(n, F.slice(t, 1, LEAD)).alias("leaf"), F.when(n >= LONG, runs).when(n >= LEAST, short).alias("runs"))
+    runs = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda j: F.xxhash64(F.slice(t, edge(j) + 1, edge(j + 1) - edge(j))))
+    return F.struct(at.alias("at"), n.alias("n"), F.when(n >= least, runs).alias("runs"))
 
 
-def templates(docs: DataFrame) -> DataFrame:
-    """(key, doc, at, long, leaf, runs, exact) of each line that can be dropped; ``doc`` orders documents."""
-    order = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), row_key().alias("key"))
-    described = F.transform(lines(F.col("text")), lambda line, i: let(tokens(line), lambda t: _describe(i, t)))
-    rows = docs.select(order.alias("doc"), F.explode(F.filter(described, lambda x: x["n"] >= LEAST)).alias("x"))
-    return rows.select(F.col("doc.key").alias("key"), "doc", "x.at", (F.col("x.n") >= LONG).alias("long"), "x.leaf", "x.runs", F.xxhash64("x.leaf", "x.runs").alias("exact"))
+def templates(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """(doc, at, long, n, runs, exact) of each line that can be dropped; ``doc`` orders documents."""
+    described = F.transform(lines(F.col("text")), lambda line, i: let(tokens(line), lambda t: _describe(i, t, limits.least)))
+    rows = docs.select(row_key().alias("doc"), F.explode(F.filter(described, lambda x: x["n"] >= limits.least)).alias("x"))
+    return rows.select("doc", "x.at", (F.col("x.n") >= limits.long).alias("long"), "x.n", "x.runs", hash128("x.n", "x.runs").alias("exact"))
 
 
-def wider(made: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(exact, first) of long lines that share a recurring wider template; firsts has (exact, first, last)."""
+def wider(made: DataFrame, firsts: DataFrame, limits: Limits) -> DataFrame:
+    """(exact, first) of lines that share a recurring wider template; firsts has (exact, first, last) of long lines."""
     half = RUNS // 2
-    halves = F.array(F.xxhash64("leaf", F.lit(0), F.slice("runs", 1, half)), F.xxhash64("leaf", F.lit(1), F.slice("runs", half + 1, RUNS - half)))
-    each = made.filter("long").select("exact", F.explode(halves).alias("half"))
-    shared = each.groupBy("half").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).filter("a <> b").select("half")
+    halves = F.array(hash128("n", F.lit(0), F.slice("runs", 1, half)), hash128("n", F.lit(1), F.slice("runs", half + 1, RUNS - half)))
+    each = made.select("exact", "long", F.explode(halves).alias("half"))
+    enough = (F.col("a") != F.col("b")) & (F.col("long") | (F.col("lines") >= limits.often))
+    shared = each.groupBy("half", "long").agg(F.min("exact").alias("a"), F.max("exact").alias("b"), F.count(F.lit(1)).alias("lines")).filter(enough).select("half")
     near = materialize(each.join(shared.hint("merge"), "half").select("exact").distinct(), "partners")
-    lines_ = made.filter("long").join(near.hint("merge"), "exact").select("exact", "leaf", "runs").dropDuplicates(["exact"])
-    opened = F.transform("runs", lambda _, j: F.xxhash64("leaf", j, F.transform("runs", lambda r, i: F.when(i == j, F.lit(0)).otherwise(r))))
-    wide = materialize(lines_.join(firsts, "exact").select("exact", "first", "last", F.explode(opened).alias("template")), "wider")
-    groups = wide.groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first <> last").select("template", "first")
+    partners = materialize(made.join(near.hint("merge"), "exact"), "partner-lines")
+    opened = F.transform("runs", lambda _, j: hash128("n", j, F.transform("runs", lambda r, i: F.when(i == j, F.lit(0)).otherwise(r))))
+    wide = materialize(partners.dropDuplicates(["exact"]).select("exact", "long", F.explode(opened).alias("template")), "wider")
+    of_long = wide.filter("long").join(firsts.hint("merge"), "exact").groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first <> last").select("template", "first")
+    holders = partners.filter("not long").select("exact", "doc").distinct()
+    of_short = wide.filter("not long").join(holders.hint("merge"), "exact").select("template", "doc").distinct()
+    of_short = of_short.groupBy("template").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limits.often).select("template", "first")
+    groups = of_long.unionByName(of_short)
     out = materialize(wide.select("exact", "template").join(groups.hint("merge"), "template").groupBy("exact").agg(F.min("first").alias("first")), "wide")
-    release(near, wide)
+    release(near, partners, wide)
     return out
 
 
-def dropped(docs: DataFrame) -> DataFrame:
-    """(key, drops): the numbers of the lines that each document loses."""
-    made = materialize(templates(docs), "lines")
+def dropped(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """(doc, drops): the numbers of the lines that each document loses."""
+    made = materialize(templates(docs, limits), "lines")
     first, last = F.min("doc").alias("first"), F.max("doc").alias("last")
     firsts = materialize(made.filter("long").groupBy("exact").agg(first, last), "firsts")
-    long = firsts.filter("first <> last").select("exact", "first").unionByName(wider(made, firsts))
-    short = made.filter("not long").groupBy("exact", "key").agg(F.min("doc").alias("doc")).groupBy("exact").agg(first, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).select("exact", "first")
+    long = firsts.filter("first <> last").select("exact", "first").unionByName(wider(made, firsts, limits))
+    short = made.filter("not long").select("exact", "doc").distinct().groupBy("exact").agg(first, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limits.often).select("exact", "first")
     recurring = materialize(long.unionByName(short).groupBy("exact").agg(F.min("first").alias("first")), "templates")
-    lost = made.select("exact", "key", "doc", "at").join(recurring.hint("merge"), "exact").filter(F.col("doc") != F.col("first")).select("key", "at")
-    out = materialize(lost.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("drops")), "drops")
+    lost = made.select("exact", "doc", "at").join(recurring.hint("merge"), "exact").filter(F.col("doc") != F.col("first")).select("doc", "at")
+    out = materialize(lost.groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("drops")), "drops")
     release(made, firsts, recurring)
     return out
 
 
-def strip(docs: DataFrame, added: tuple[str, str] = ("n_lines", "drops")) -> DataFrame:
+def strip(docs: DataFrame, added: tuple[str, str] = ("n_lines", "drops"), limits: Limits = LIMITS) -> DataFrame:
     """docs with the recurring lines gone from text, and two columns ``added``: lines there were, numbers of those lost."""
-    lost = dropped(docs).withColumnsRenamed({"key": "_mr_key", "drops": "_mr_drops"})
+    lost = dropped(docs, limits).withColumnsRenamed({"doc": "_mr_key", "drops": "_mr_drops"})
     keep = [c for c in docs.columns if c not in ("text", *added)]
     joined = docs.withColumn("_mr_key", row_key()).join(lost.hint("merge"), "_mr_key", "left")
     parts, drops = lines(F.col("text")), F.col("_mr_drops")

@@ -111,9 +111,9 @@ SELECT doc_id, item_id, max(similarity)::DOUBLE AS similarity, greatest(arg_max(
 LINES_SQL = f"""
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 k AS (SELECT doc_id, pos, list_filter(string_split(regexp_replace(regexp_replace(l[pos + 1], '[0-9]+', '0', 'g'), '[\\t\\v\\f\\r]', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS pos FROM d)),
-g AS (SELECT doc_id, pos, len(t) >= {linedup.LONG} AS long, [-1, len(t)] AS j, t AS a, []::VARCHAR[] AS b FROM k WHERE len(t) >= {linedup.LEAST}
-  UNION ALL SELECT doc_id, pos, true, [j, len(t)], list_concat(t[1:{linedup.LEAD}], ['|'], t[1:j * len(t) // {linedup.RUNS}]), t[(j + 1) * len(t) // {linedup.RUNS} + 1:] FROM (SELECT *, unnest(range(0, {linedup.RUNS})) AS j FROM k WHERE len(t) >= {linedup.LONG})),
-r AS (SELECT long, j, a, b, min(doc_id) AS first FROM g GROUP BY ALL HAVING count(DISTINCT doc_id) >= CASE WHEN long THEN 2 ELSE {linedup.OFTEN} END),
+g AS (SELECT doc_id, pos, len(t) >= {linedup.LIMITS.long} AS long, [-1, len(t)] AS j, t AS a, []::VARCHAR[] AS b FROM k WHERE len(t) >= {linedup.LIMITS.least}
+  UNION ALL SELECT doc_id, pos, len(t) >= {linedup.LIMITS.long}, [j, len(t)], t[1:j * len(t) // {linedup.RUNS}], t[(j + 1) * len(t) // {linedup.RUNS} + 1:] FROM (SELECT *, unnest(range(0, {linedup.RUNS})) AS j FROM k WHERE len(t) >= {linedup.LIMITS.least})),
+r AS (SELECT long, j, a, b, min(doc_id) AS first FROM g GROUP BY ALL HAVING count(DISTINCT doc_id) >= CASE WHEN long THEN 2 ELSE {linedup.LIMITS.often} END),
 x AS (SELECT doc_id, list_sort(list(DISTINCT pos)) AS drops FROM g JOIN r USING (long, j, a, b) WHERE doc_id <> first GROUP BY doc_id)
 SELECT doc_id, len(l)::INTEGER AS n_lines, coalesce(len(drops), 0)::INTEGER AS n_dropped, coalesce(array_to_string(drops, ','), '') AS drops,
   CASE WHEN drops IS NULL THEN text ELSE array_to_string([l[i + 1] for i in range(0, len(l)) if NOT list_contains(drops, i)], chr(10)) END AS text FROM d LEFT JOIN x USING (doc_id)"""
