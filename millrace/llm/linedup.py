@@ -24,7 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import let, materialize, release
+from millrace.llm.common import materialize, release
 
 RUNS = 8
 
@@ -40,8 +40,13 @@ class Limits(NamedTuple):
 LIMITS = Limits()
 
 
-def hash128(*columns) -> Column:
-    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+def hash128(name: str, *columns) -> list[Column]:
+    """Two columns, name_a and name_b, that tell values apart."""
+    return [F.xxhash64(*columns).alias(f"{name}_a"), F.xxhash64(F.lit(1), *columns).alias(f"{name}_b")]
+
+
+def pair(name: str) -> list[str]:
+    return [f"{name}_a", f"{name}_b"]
 
 
 def row_key() -> Column:
@@ -61,52 +66,53 @@ def tokens(line: Column) -> Column:
     return F.array_remove(F.split(even, " "), "")
 
 
-def _describe(at: Column, t: Column, least: int) -> Column:
-    n = F.size(t)
-    edge = lambda j: F.floor(j * n / RUNS).cast("int")
-    runs = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda j: F.xxhash64(F.slice(t, edge(j) + 1, edge(j + 1) - edge(j))))
-    return F.struct(at.alias("at"), n.alias("n"), F.when(n >= least, runs).alias("runs"))
-
-
 def templates(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """(doc, at, long, n, runs, exact) of each line that can be dropped; ``doc`` orders documents."""
-    described = F.transform(lines(F.col("text")), lambda line, i: let(tokens(line), lambda t: _describe(i, t, limits.least)))
-    rows = docs.select(row_key().alias("doc"), F.explode(F.filter(described, lambda x: x["n"] >= limits.least)).alias("x"))
-    return rows.select("doc", "x.at", (F.col("x.n") >= limits.long).alias("long"), "x.n", "x.runs", hash128("x.n", "x.runs").alias("exact"))
+    """(doc, at, long, n, runs, exact_a, exact_b) of each line; ``doc`` orders documents. Lines too short for any limit may lack."""
+    rows = docs.select(row_key().alias("doc"), F.posexplode(lines(F.col("text"))).alias("at", "line"))
+    rows = rows.filter(F.length("line") >= 2 * limits.least - 1)  # ``least`` tokens and what parts them
+    rows = rows.select("doc", "at", tokens(F.col("line")).alias("t"))
+    n = F.size("t")
+    edge = lambda j: F.floor(F.lit(j) * n / RUNS).cast("int")
+    runs = F.array(*(F.xxhash64(F.slice("t", edge(j) + 1, edge(j + 1) - edge(j))) for j in range(RUNS)))
+    rows = rows.select("doc", "at", (n >= limits.long).alias("long"), n.alias("n"), runs.alias("runs"))
+    return rows.select("*", *hash128("exact", "n", "runs"))
 
 
 def wider(made: DataFrame, firsts: DataFrame, limits: Limits) -> DataFrame:
     """(exact, first) of lines that share a recurring wider template; firsts has (exact, first, last) of long lines."""
-    half = RUNS // 2
-    halves = F.array(hash128("n", F.lit(0), F.slice("runs", 1, half)), hash128("n", F.lit(1), F.slice("runs", half + 1, RUNS - half)))
-    each = made.select("exact", "long", F.explode(halves).alias("half"))
+    half, exact, template = RUNS // 2, pair("exact"), pair("template")
+    sides = [F.array(F.slice("runs", 1, half), F.array(F.lit(0).cast("long"))), F.array(F.slice("runs", half + 1, RUNS - half), F.array(F.lit(1).cast("long")))]
+    each = made.select(*exact, "long", "n", F.explode(F.array(*sides)).alias("side")).select(*exact, "long", *hash128("half", "n", "side"))
     enough = (F.col("a") != F.col("b")) & (F.col("long") | (F.col("lines") >= limits.often))
-    shared = each.groupBy("half", "long").agg(F.min("exact").alias("a"), F.max("exact").alias("b"), F.count(F.lit(1)).alias("lines")).filter(enough).select("half")
-    near = materialize(each.join(shared.hint("merge"), "half").select("exact").distinct(), "partners")
-    partners = materialize(made.join(near.hint("merge"), "exact"), "partner-lines")
-    opened = F.transform("runs", lambda _, j: hash128("n", j, F.transform("runs", lambda r, i: F.when(i == j, F.lit(0)).otherwise(r))))
-    wide = materialize(partners.dropDuplicates(["exact"]).select("exact", "long", F.explode(opened).alias("template")), "wider")
-    of_long = wide.filter("long").join(firsts.hint("merge"), "exact").groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first <> last").select("template", "first")
-    holders = partners.filter("not long").select("exact", "doc").distinct()
-    of_short = wide.filter("not long").join(holders.hint("merge"), "exact").select("template", "doc").distinct()
-    of_short = of_short.groupBy("template").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limits.often).select("template", "first")
+    shared = each.groupBy(*pair("half"), "long").agg(F.min("exact_a").alias("a"), F.max("exact_a").alias("b"), F.count(F.lit(1)).alias("lines")).filter(enough).select(*pair("half"))
+    near = materialize(each.join(shared.hint("merge"), pair("half")).select(*exact).distinct(), "partners")
+    partners = materialize(made.join(near.hint("merge"), exact), "partner-lines")
+    rows = partners.dropDuplicates(exact).select(*exact, "long", "n", "runs", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("j"))
+    opened = F.array(*(F.when(F.col("j") == i, F.lit(0).cast("long")).otherwise(F.get("runs", i)) for i in range(RUNS)))
+    wide = materialize(rows.select(*exact, "long", *hash128("template", "n", "j", opened)), "wider")
+    of_long = wide.filter("long").join(firsts.hint("merge"), exact).groupBy(*template).agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first <> last").select(*template, "first")
+    holders = partners.filter("not long").select(*exact, "doc").distinct()
+    of_short = wide.filter("not long").join(holders.hint("merge"), exact).select(*template, "doc").distinct()
+    of_short = of_short.groupBy(*template).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limits.often).select(*template, "first")
     groups = of_long.unionByName(of_short)
-    out = materialize(wide.select("exact", "template").join(groups.hint("merge"), "template").groupBy("exact").agg(F.min("first").alias("first")), "wide")
+    out = materialize(wide.select(*exact, *template).join(groups.hint("merge"), template).groupBy(*exact).agg(F.min("first").alias("first")), "wide")
     release(near, partners, wide)
     return out
 
 
 def dropped(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """(doc, drops): the numbers of the lines that each document loses."""
-    made = materialize(templates(docs, limits), "lines")
+    exact = pair("exact")
+    stored = materialize(templates(docs, limits), "lines")
+    made = stored.filter(F.col("n") >= limits.least)
     first, last = F.min("doc").alias("first"), F.max("doc").alias("last")
-    firsts = materialize(made.filter("long").groupBy("exact").agg(first, last), "firsts")
-    long = firsts.filter("first <> last").select("exact", "first").unionByName(wider(made, firsts, limits))
-    short = made.filter("not long").select("exact", "doc").distinct().groupBy("exact").agg(first, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limits.often).select("exact", "first")
-    recurring = materialize(long.unionByName(short).groupBy("exact").agg(F.min("first").alias("first")), "templates")
-    lost = made.select("exact", "doc", "at").join(recurring.hint("merge"), "exact").filter(F.col("doc") != F.col("first")).select("doc", "at")
+    firsts = materialize(made.filter("long").groupBy(*exact).agg(first, last), "firsts")
+    long = firsts.filter("first <> last").select(*exact, "first").unionByName(wider(made, firsts, limits))
+    short = made.filter("not long").select(*exact, "doc").distinct().groupBy(*exact).agg(first, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limits.often).select(*exact, "first")
+    recurring = materialize(long.unionByName(short).groupBy(*exact).agg(F.min("first").alias("first")), "templates")
+    lost = made.select(*exact, "doc", "at").join(recurring.hint("merge"), exact).filter(F.col("doc") != F.col("first")).select("doc", "at")
     out = materialize(lost.groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("drops")), "drops")
-    release(made, firsts, recurring)
+    release(stored, firsts, recurring)
     return out
 
 
