@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import smallest
+from millrace.llm.common import remainder, smallest
 from millrace.llm.textvec import mix, slices, text_buffers, trim
 
 #: Hash buckets of the n-grams, and the largest sample of labelled rows that the classifiers are fitted on.
@@ -185,6 +185,12 @@ def fit(rows: DataFrame) -> Model:
     return Model(languages, code, weights.astype(np.float32), bias, trust)
 
 
+def fit_documents(docs: DataFrame) -> Model:
+    """Learn from text and lang of documents; those whose crc32 of the id leaves 2 modulo 4 are held out."""
+    rows = docs.select("doc_id", "text", F.col("lang").alias("label"))
+    return fit(sample(rows, remainder(F.col("doc_id"), 4) != 2))
+
+
 ADDED = ("lang_pred", "score", "ambiguous")
 
 

@@ -216,6 +216,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     return pieces.withColumn("_group", spread).groupBy("_group").applyInPandas(run, schema)
 
 
+def default_tokenizer() -> str:
+    """The path of the public tokenizer that the registered queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenize, cut and pack documents: the columns of ``tokenize`` with sequence_id and offset."""
     return pack(materialize(tokenize(docs, tokenizer, capacity), "pieces", arrow_rows=ROWS), capacity)

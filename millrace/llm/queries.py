@@ -8,27 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, katz, language, licenses, linedup, neardup, packing, quality, topk, warc
+from millrace.llm import pipeline as stages
 from millrace.llm.common import held_out, remainder, table
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("matches")
 
 
-def fit_language(docs: DataFrame) -> language.Model:
-    rows = docs.select("doc_id", "text", F.col("lang").alias("label"))
-    return language.fit(language.sample(rows, remainder(F.col("doc_id"), 4) != 2))
-
-
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = language.identify(docs.select("doc_id", "text"), fit_language(docs), keep_text=False)
+    found = language.identify(docs.select("doc_id", "text"), language.fit_documents(docs), keep_text=False)
     return found.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
@@ -71,13 +61,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -126,9 +114,7 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
     out = {"op1_license_scan": licenses.scan_sql(), "op4_exact_topk": TOPK_SQL, "op5_decontamination": LEAKS_SQL, "op7_line_dedup": LINES_SQL, "op9_warc": WARC_SQL}
-    if corpus_pipeline.ORACLE_SQL:
-        out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    if stages.ORACLE_SQL:
+        out["pipeline"] = stages.ORACLE_SQL
     return out

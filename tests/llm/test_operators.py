@@ -12,8 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from millrace.llm import decontamination, katz, language, licenses, linedup, neardup, packing, quality, queries, topk, warc
+from millrace.llm import decontamination, katz, language, licenses, linedup, neardup, packing, pipeline, quality, queries, topk, warc
 from millrace.llm.common import held_out, remainder, smallest, table
 
 rng = random.Random(5)
@@ -551,10 +550,10 @@ def test_warc_threshold_and_export(spark, tmp_path):
 def test_packing(spark):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.tokenizer_path())
+    t = Tokenizer.from_file(packing.default_tokenizer())
     odd = [(70, "İstanbul ΑΣ ΟΔΟΣ it's I'LL we'Re"), (71, "a <|endoftext|> x"), (76, "<|endo<|startoftext|>é <|ENDOFTEXT|>"), (77, "<|endoftext|>" * 300), (72, "a b\x1cc\x85d ½²³ ªº µ"), (73, "naïve K Ǆ ß ẞ"), (74, "x" * 100 + "'s"), (75, "".join(chr(c) + " " * (c % 3 == 0) for c in range(0xA1, 0x250)))]
     rows = [*EDGES, *odd]
-    got = packing.pack_documents(clashing(frame(spark, rows)), queries.tokenizer_path()).collect()
+    got = packing.pack_documents(clashing(frame(spark, rows)), packing.default_tokenizer()).collect()
     want = []
     for d, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
@@ -572,7 +571,7 @@ def test_packing(spark):
             at += length
         assert at <= 4096
     assert len(by) <= -(-sum(r.length for r in got) // 4096) + 3
-    assert packing.pack_documents(frame(spark, []), queries.tokenizer_path()).count() == 0
+    assert packing.pack_documents(frame(spark, []), packing.default_tokenizer()).count() == 0
 
 
 def test_packing_spreads_equal_rows(spark):
@@ -605,21 +604,67 @@ def test_sum_of_squares_rule():
 # the pipeline
 
 
-def test_pipeline(spark, sf):
+def test_pipeline_brute(spark, sf):
+    """Every stage's rows against brute force on its own input, for the whole tables."""
+    from tokenizers import Tokenizer
+
+    docs = table(spark, sf, "documents")
+    stages = dict(pipeline.STAGES)
+    plain = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert list(stages) == ["language_id", "line_dedup", "near_duplicates", "decontamination", "packing"]
+
+    found = {r.doc_id: r for r in queries.op2_language_id(spark, sf).collect()}
+    kept = docs.filter(F.col("doc_id").isin([d for d, r in found.items() if r.lang_pred != "und" and not r.ambiguous]))
+    assert plain(stages["language_id"](spark, docs, sf)) == plain(kept) and kept.count() >= 0.95 * docs.count()
+
+    lost = brute_lines([(r.doc_id, r.text) for r in kept.collect()])
+    want = []
+    for r in kept.collect():
+        text = "\n".join(x for i, x in enumerate((r.text or "").split("\n")) if i not in lost[r.doc_id]) if lost[r.doc_id] else r.text
+        if text is None or text.strip() or not lost[r.doc_id]:
+            want.append(r.asDict() | {"text": text, "n_chars": len(text) if lost[r.doc_id] else r.n_chars})
+    want = spark.createDataFrame(want, docs.schema)
+    assert plain(stages["line_dedup"](spark, kept, sf)) == plain(want)
+
+    rows = [(r.doc_id, r.text) for r in want.collect()]
+    firsts = {c for _, c in brute_classes(rows)}
+    unique = want.filter(F.col("doc_id").isin(list(firsts)))
+    assert plain(stages["near_duplicates"](spark, want, sf)) == plain(unique)
+
+    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
+    bad = {d for d, _ in brute_leaks([(r.doc_id, r.text) for r in unique.collect()], items)}
+    clean = unique.filter(~F.col("doc_id").isin(list(bad) or [-1]))
+    assert bad and plain(stages["decontamination"](spark, unique, sf)) == plain(clean)
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    pieces = []
+    for r in clean.collect():
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 1]
+        pieces += [(r.doc_id, p, a, min(4096, len(ids) - a), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes())) for p, a in enumerate(range(0, len(ids), 4096))]
+    got = pipeline.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(pieces)
+    ends = collections.defaultdict(int)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 4096
+
+
+def test_pipeline_languages(spark, sf, monkeypatch):
     docs = table(spark, sf, "documents")
-    seen = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, seen, sf)
-        assert out.columns == docs.columns, name
-        seen = spark.createDataFrame(out.collect(), docs.schema)
-        assert 0 < seen.count() <= docs.count()
-    assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == seen.count()
+    monkeypatch.setattr(pipeline, "LANGUAGES", ("en",))
+    got = pipeline.keep_languages(spark, docs, sf).groupBy("lang").count().collect()
+    count = {r.lang: r["count"] for r in got}
+    assert count["en"] >= 0.9 * docs.filter("lang = 'en'").count() and sum(count.values()) <= 1.1 * count["en"]
+    monkeypatch.setattr(pipeline, "LANGUAGES", None)
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert pipeline.keep_languages(spark, none, sf).count() >= 0.9 * docs.count()
 
 
 def test_pipeline_edges(spark, sf):
     rows = [(d, t, "en", "s", len(t or "")) for d, t in EDGES]
     docs = clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for _, stage in pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.filter("key <> '?' or _key <> '?' or drops <> '?' or lang_pred <> '?'").count() == 0
         assert stage(spark, docs.limit(0), sf).count() == 0
