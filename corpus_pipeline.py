@@ -1,57 +1,5 @@
-"""The corpus pipeline: documents to packed training sequences in five stages.
+"""The corpus pipeline: ``STAGES`` in order, ``run(spark, sf_dir)`` to apply them to documents. See millrace/llm/pipeline.py."""
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. A stage's result is
-written as Parquet in the shared folder and read again as the next one's input.
-"""
+from millrace.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from millrace.llm import decontamination, language, linedup, neardup, packing
-from millrace.llm.common import materialize, table, text_key
-from millrace.llm.queries import fit_language, tokenizer_path
-
-
-def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no text, or no letter in it."""
-    found = language.identify(docs, fit_language(docs), added=("_mr_lang", "_mr_score", "_mr_near"))
-    return found.filter("_mr_lang <> 'und'").select(docs.columns)
-
-
-def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take recurring lines out of all documents but the first; a document of which no word is left goes."""
-    out = linedup.strip(docs, ("_mr_lines", "_mr_drops"))
-    lost = F.size("_mr_drops") > 0
-    return out.filter(~(lost & ~F.col("text").rlike(r"\S"))).withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near duplicates."""
-    kept = materialize(neardup.classes(docs).filter("representative").select("doc_id", "text_key").distinct(), "kept")
-    kept = kept.withColumnsRenamed({"doc_id": "_mr_id", "text_key": "_mr_text"})
-    keyed = docs.withColumn("_mr_key", text_key(F.col("text")))
-    out = keyed.join(kept, (F.col("_mr_key") == F.col("_mr_text")) & F.col("doc_id").eqNullSafe(F.col("_mr_id")), "left_semi")
-    return out.dropDuplicates(["_mr_key", "doc_id"]).select(docs.columns)
-
-
-def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer_path())
-
-
-STAGES = [("language_id", keep_languages), ("line_dedup", drop_lines), ("near_duplicates", drop_copies), ("decontamination", drop_benchmark), ("packing", pack)]
-#: Trained models, signatures and tokens are beyond SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
