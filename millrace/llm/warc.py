@@ -30,6 +30,8 @@ from millrace.llm.common import materialize
 #: Raw bytes after which a frame, and compressed bytes after which a bundle, is closed.
 FRAME, BUNDLE = 256 << 10, 8 << 20
 LEVEL = 3
+#: The most repeated payloads (a digest, a length and an id each) that are sent to all tasks; tasks of one payload beyond that.
+BROADCAST, SALTS = 100_000, 16
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -137,11 +139,20 @@ class BundleWriter:
 
 
 def classify(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages with payload_key, payload_bytes, record_type and refers_to. Only digests and ids are shuffled twice over."""
+    """pages with payload_bytes, record_type and refers_to.
+
+    Digests and ids are grouped; payloads that occur again are then sent to the pages, which stay where they are. Beyond
+    ``BROADCAST`` such payloads pages are joined by digest instead, with every payload's pages dealt to ``SALTS`` tasks.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), F.sha1(payload).alias("payload_key"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    again = materialize(pages.filter(F.col("payload_bytes") >= least).groupBy("payload_key", "payload_bytes").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "payloads")
-    joined = pages.join(again, ["payload_key", "payload_bytes"], "left")
+    keys = ["payload_key", "payload_bytes"]
+    again = materialize(pages.filter(F.col("payload_bytes") >= least).groupBy(*keys).agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "payloads")
+    if again.count() <= BROADCAST:
+        joined = pages.join(F.broadcast(again), keys, "left")
+    else:
+        salted = again.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = pages.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], "left")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return joined.select("page_id", "url", "html", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"))
 

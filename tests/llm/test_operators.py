@@ -510,10 +510,12 @@ def test_near_duplicates_tables(spark, sf):
 # 9
 
 
-def test_warc(spark, sf):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_warc(spark, sf, monkeypatch, broadcast):
     import base64
     import hashlib
 
+    monkeypatch.setattr(warc, "BROADCAST", broadcast)
     pages = table(spark, sf, "pages").collect()
     rows = [(p.page_id, p.url, p.html) for p in pages] + [(9001, "u\r\nx", None), (9002, None, ""), (9003, "u", pages[0].html), (9004, "u", "x" * 900_000), (None, "n", "only"), (None, "n", pages[1].html), (9005, "é", "ü\r\n\r\nWARC/1.1"), (9006, "d", "same"), (9006, "d", "same")]
     df = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))
