@@ -1,10 +1,13 @@
 """Copy-on-write changes: each function returns the relation as it is afterwards.
 
-Tables are Parquet directories; ``swap`` writes the new version beside the old one and renames it into place.
+Tables are Parquet directories; ``Versions`` writes new versions beside the old ones and makes a change of several
+tables current by one rename.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,16 +81,79 @@ def touch_meta(meta: DataFrame, **values) -> DataFrame:
     return upsert(meta, new, ["key"])
 
 
-def swap(df: DataFrame, path: str, partition_by: list[str] = ()) -> DataFrame:
-    """Replace the Parquet table at ``path``, which ``df`` may read from; returns the new table."""
-    spark: SparkSession = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fresh, old = f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
-    df.write.partitionBy(*partition_by).parquet(fresh)
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(hadoop(path)):
-        fs.rename(hadoop(path), hadoop(old))
-    fs.rename(hadoop(fresh), hadoop(path))
-    fs.delete(hadoop(old), True)
-    spark.catalog.refreshByPath(path)
-    return spark.read.parquet(path)
+class Versions:
+    """Parquet tables under a folder, each version in a directory of its own; one file names the current ones.
+
+    A change is visible when that file is replaced, which is one rename, for all tables of the change together. A
+    failed change leaves the tables as they were. A version stays until the change after the one that replaced it, so
+    that queries which still read it can end.
+    """
+
+    NAMES = "CURRENT.json"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._staged: dict[str, str] | None = None
+
+    def _path(self, *parts: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+
+    def _fs(self):
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _state(self) -> dict:
+        fs, path = self._fs(), self._path(self.NAMES)
+        if not fs.exists(path):
+            return {"tables": {}, "old": []}
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def current(self, name: str) -> str | None:
+        """The directory of a table's newest version, staged ones included; None if there is none."""
+        version = (self._staged or {}).get(name) or self._state()["tables"].get(name)
+        return f"{self.root}/{name}/{version}" if version else None
+
+    def stage(self, name: str, df: DataFrame, partition_by: list[str] = ()) -> DataFrame:
+        """Write a table's new version, which ``df`` may read the old one of; returns it."""
+        version = f"v-{uuid.uuid4().hex[:12]}"
+        path = f"{self.root}/{name}/{version}"
+        with self.change():
+            self._staged[name] = version
+            df.write.partitionBy(*partition_by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @contextlib.contextmanager
+    def change(self):
+        """Tables staged inside become current together at the end, or not at all."""
+        if self._staged is not None:
+            yield
+            return
+        self._staged = {}
+        try:
+            yield
+            staged = self._staged
+            if staged:
+                self._publish(staged)
+        except BaseException:
+            for name, version in self._staged.items():
+                self._fs().delete(self._path(name, version), True)
+            raise
+        finally:
+            self._staged = None
+
+    def _publish(self, staged: dict[str, str]) -> None:
+        state, fs, jvm = self._state(), self._fs(), self.spark.sparkContext._jvm
+        replaced = [f"{n}/{state['tables'][n]}" for n in staged if n in state["tables"]]
+        new = {"tables": state["tables"] | staged, "old": replaced}
+        fresh = self._path(f"{self.NAMES}.{uuid.uuid4().hex[:8]}")
+        out = fs.create(fresh, True)
+        out.write(bytearray(json.dumps(new).encode()))
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri()).rename(fresh, self._path(self.NAMES), options)
+        for gone in state["old"]:
+            fs.delete(self._path(gone), True)

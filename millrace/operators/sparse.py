@@ -36,10 +36,33 @@ def index(chunks: DataFrame, fields: dict[str, float] = WEIGHTS) -> Index:
     return Index(postings, lengths)
 
 
+#: Directories of a stored index; a query reads those of its terms.
+BUCKETS = 64
+
+
+def _bucket(term):
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def store(idx: Index, path: str) -> Index:
+    """Write an index as tables under ``path``, postings partitioned by term and sorted, and return the stored one."""
+    rows = idx.postings.withColumn("bucket", _bucket(F.col("term"))).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "chunk_id")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    idx.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    return load(idx.lengths.sparkSession, path)
+
+
+def load(spark, path: str) -> Index:
+    postings = spark.read.schema("chunk_id string, field string, term string, positions array<int>, bucket int").parquet(f"{path}/postings")
+    return Index(postings, spark.read.schema("chunk_id string, length int").parquet(f"{path}/lengths"))
+
+
 def refresh(old: Index, changed: DataFrame, gone: DataFrame, fields: dict[str, float] = WEIGHTS) -> Index:
     """The index after chunks changed (full rows) or went (ids): only their postings are made anew."""
     touched = changed.select(F.col("id").alias("chunk_id")).unionByName(gone.select(F.col("id").alias("chunk_id"))).distinct()
     new = index(changed, fields)
+    if "bucket" in old.postings.columns:
+        new = Index(new.postings.withColumn("bucket", _bucket(F.col("term"))), new.lengths)
     return Index(old.postings.join(touched, "chunk_id", "left_anti").unionByName(new.postings), old.lengths.join(touched, "chunk_id", "left_anti").unionByName(new.lengths))
 
 
@@ -71,10 +94,13 @@ def score(idx: Index, words: list[list[str]], fields: dict[str, float] = WEIGHTS
     """(chunk_id, bm25, score) of the chunks that match all words; None if there is no word."""
     if not words:
         return None
-    spark = idx.postings.sparkSession
     used = sorted({t for w in words for t in w})
     weights = F.create_map(*(F.lit(x) for kv in fields.items() for x in kv))
-    rows = idx.postings.filter(F.col("term").isin(used)).groupBy("chunk_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    rows = idx.postings
+    if "bucket" in rows.columns:  # a stored index: only the directories of these terms are read
+        parts = rows.sparkSession.range(1).select(*(_bucket(F.lit(t)) for t in used)).first()
+        rows = rows.filter(F.col("bucket").isin(sorted(set(parts))))
+    rows = rows.filter(F.col("term").isin(used)).groupBy("chunk_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
     none = F.array().cast("array<int>")
     at = lambda t, k: F.transform(F.coalesce(F.try_element_at("at", F.lit(t)), none), lambda p: p - k)
     counts = [F.size(reduce(F.array_intersect, [at(t, k) for k, t in enumerate(w)])) for w in words]
@@ -82,7 +108,6 @@ def score(idx: Index, words: list[list[str]], fields: dict[str, float] = WEIGHTS
     per = per.groupBy("chunk_id").agg(*(F.sum(f"f{i}").alias(f"f{i}") for i in range(len(words))))
     # N, average length and each word's document count are one row, broadcast to the matches
     stats = idx.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).join(per.agg(*(F.sum(F.when(F.col(f"f{i}") > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(words)))), how="cross")
-    del spark
     hit = per.filter(reduce(lambda a, b: a & b, (F.col(f"f{i}") > 0 for i in range(len(words)))))
     joined = hit.join(idx.lengths, "chunk_id").join(F.broadcast(stats), how="cross")
     total = F.lit(0.0)

@@ -21,6 +21,7 @@ TABLES = {
     "nodes": "id string, symbol string, kind string, file_path string",
     "edges": "source_id string, target_symbol string, edge_type string",
     "meta": "key string, value string",
+    "report": "path string, chunks bigint, new_chunks bigint",
 }
 
 
@@ -36,28 +37,23 @@ class Report:
     per_file: DataFrame | None = None
 
 
-class Store:
-    """The relations of one index as Parquet tables under a folder."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _there(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+class Store(dml.Versions):
+    """The relations of one index as versioned Parquet tables under a folder."""
 
     def read(self, name: str) -> DataFrame:
-        if self._there(name):
-            return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
+        path = self.current(name)
+        if path:
+            return self.spark.read.schema(TABLES[name]).parquet(path)
         return self.spark.createDataFrame([], TABLES[name])
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         kinds = dict(self.spark.createDataFrame([], TABLES[name]).dtypes)
-        return dml.swap(df.select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items())), f"{self.root}/{name}")
+        return self.stage(name, df.select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items())))
 
     def clear(self) -> None:
-        for name in TABLES:
-            self.write(name, self.spark.createDataFrame([], TABLES[name]))
+        with self.change():
+            for name in TABLES:
+                self.write(name, self.spark.createDataFrame([], TABLES[name]))
 
 
 def with_hash(files: DataFrame) -> DataFrame:
@@ -69,20 +65,27 @@ def index(store: Store, files: DataFrame, embed=None, dims: int = 384, delete_st
     """Bring the store up to date with ``files`` (path, size, mtime, content bytes).
 
     Unchanged files (path, mtime, size, hash) are skipped; of the others only new chunks are embedded; removed
-    chunks, vectors and graph rows go. File records are written last, so a broken run repeats. A subset of files
+    chunks, vectors and graph rows go. All tables change together, so a broken run repeats. A subset of files
     is indexed with ``delete_stale=False``.
     """
     began, now = time.time(), int(time.time()) if now is None else now
     embed = embed or mock_embedder(dims)
-    current = with_hash(files).cache()
+    pinned: list[DataFrame] = []
+
+    def pin(df: DataFrame) -> DataFrame:
+        """Kept for the run as several tables are made of it; a lost part is made again from the files."""
+        pinned.append(df.persist())
+        return df
+
+    current = pin(with_hash(files))
     try:
         stored = store.read("files")
-        todo = diff.changed(current, stored).select("path", "content", "language", "mtime", "size", "hash").cache()
+        todo = pin(diff.changed(current, stored).select("path", "content", "language", "mtime", "size", "hash"))
         total, work = current.count(), todo.count()
-        chunks = parsing.chunk_files(todo).cache()
+        chunks = pin(parsing.chunk_files(todo))
         old_chunks, old_vectors = store.read("chunks"), store.read("vectors")
-        fresh = diff.new_chunks(chunks, old_chunks).cache()
-        gone = diff.removed_chunks(chunks, old_chunks, todo).select("id").cache()
+        fresh = pin(diff.new_chunks(chunks, old_chunks))
+        gone = pin(diff.removed_chunks(chunks, old_chunks, todo).select("id"))
         created, removed = fresh.count(), gone.count()
         text = enrich_chunk(F.col("language"), F.col("file_path"), F.col("parent_context"), F.col("symbol"), F.col("content"))
         vectors = fresh.select(F.col("id").alias("chunk_id"), embed(text).alias("embedding"))
@@ -97,35 +100,34 @@ def index(store: Store, files: DataFrame, embed=None, dims: int = 384, delete_st
             paths = store.read("files").join(current.select("path"), "path", "left_anti")
             nodes, edges = dml.delete_graph(nodes, edges, paths)
         nodes, edges = dml.insert_graph(nodes, edges, new_nodes, new_edges)
-        touched = diff.per_file(chunks, fresh, todo)
-        report_rows = touched.collect() if work <= 1000 else None
-        vectors_out = store.write("vectors", new_vectors)
-        del vectors_out
-        chunks_out = store.write("chunks", new_chunks)
-        store.write("edges", edges)
-        store.write("nodes", nodes)
         records = dml.upsert(stored, todo.select("path", "mtime", "size", "hash", F.lit(now).cast("long").alias("indexed_at")), ["path"])
         if delete_stale:
             records = records.join(current.select("path"), "path", "left_semi")
-        files_out = store.write("files", records)
-        n_files, n_chunks = files_out.count(), chunks_out.count()
-        store.write("meta", meta_rows(store.spark, {"provider": provider, "model": model, "dimensions": dims, "created_at": now, "last_sync_at": now, "files_indexed": n_files, "chunks_stored": n_chunks, "version": "4"}))
-        detail = store.spark.createDataFrame(report_rows, touched.schema) if report_rows is not None else None
+        with store.change():
+            detail = store.write("report", diff.per_file(chunks, fresh, todo))
+            store.write("vectors", new_vectors)
+            chunks_out = store.write("chunks", new_chunks)
+            store.write("edges", edges)
+            store.write("nodes", nodes)
+            files_out = store.write("files", records)
+            n_files, n_chunks = files_out.count(), chunks_out.count()
+            store.write("meta", meta_rows(store.spark, {"provider": provider, "model": model, "dimensions": dims, "created_at": now, "last_sync_at": now, "files_indexed": n_files, "chunks_stored": n_chunks, "version": "4"}))
         return Report(work, total - work, created, removed, n_files, n_chunks, time.time() - began, detail)
     finally:
-        store.spark.catalog.clearCache()
+        for df in pinned:
+            df.unpersist()
 
 
 def remove(store: Store, paths: DataFrame) -> None:
-    """Take files out of the index: chunks, vectors, graph and records."""
-    paths = store.spark.createDataFrame(paths.collect(), paths.schema) if paths.count() <= 10_000 else paths
+    """Take files out of the index: chunks, vectors, graph and records, in one change."""
     chunks, vectors, files = dml.delete_files(store.read("chunks"), store.read("vectors"), store.read("files"), paths)
     nodes, edges = dml.delete_graph(store.read("nodes"), store.read("edges"), paths)
-    store.write("vectors", vectors)
-    store.write("chunks", chunks)
-    store.write("edges", edges)
-    store.write("nodes", nodes)
-    store.write("files", files)
+    with store.change():  # all of it reads the versions from before
+        store.write("vectors", vectors)
+        store.write("chunks", chunks)
+        store.write("edges", edges)
+        store.write("nodes", nodes)
+        store.write("files", files)
 
 
 def reindex(stores: dict[str, tuple[Store, DataFrame]], full: bool = False, **options) -> dict[str, Report]:

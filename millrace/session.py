@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +24,13 @@ def session(master: str | None = None, app: str = "millrace", **settings: str) -
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's folder for stored intermediate tables, in the storage that ``spark.checkpoint.dir`` names."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "millrace-checkpoints")
+    return f"{root.rstrip('/')}/millrace-engine-{spark.sparkContext.applicationId}"

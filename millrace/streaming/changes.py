@@ -66,12 +66,14 @@ def sync(changes: DataFrame, checkpoint: str, remove: Callable[[DataFrame], None
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        gone, touched = split(batch)
-        kept = batch.sparkSession.createDataFrame(gone.collect(), "path string"), batch.sparkSession.createDataFrame(touched.collect(), "path string")
-        if not kept[0].isEmpty():
-            remove(kept[0])
-        if not kept[1].isEmpty():
-            update(kept[1])
+        last = latest(batch).persist()  # both parts come from it; a lost part is made again from the batch
+        try:
+            for gone, step in ((True, remove), (False, update)):
+                paths = last.filter(F.col("is_removal") == gone).select("path")
+                if not paths.isEmpty():
+                    step(paths)
+        finally:
+            last.unpersist()
 
     writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return (writer.trigger(availableNow=True) if once else writer).start()

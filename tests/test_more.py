@@ -104,3 +104,35 @@ def test_corpus_tools(spark, tmp_path):
     assert keys(files.list_dir(f), "name", "type") == [("a", "dir"), ("b.RS", "file"), ("c.md", "file")]
     both = files.corpus(spark, {"corpora": [{"type": "local", "path": str(tmp_path), "extensions": [".py"]}, {"path": str(tmp_path)}]})
     assert keys(both, "path")[0] == ("corpus_0/a/x.py",) and both.count() == 4
+
+
+def test_versions(spark, tmp_path):
+    from millrace.operators import dml
+
+    store = dml.Versions(spark, str(tmp_path / "v"))
+    rows = lambda: sorted(r.id for r in spark.read.parquet(store.current("a")).collect())
+    store.stage("a", spark.range(3))
+    store.stage("a", spark.read.parquet(store.current("a")).filter("id > 0"))
+    assert rows() == [1, 2]
+    with pytest.raises(RuntimeError), store.change():
+        store.stage("a", spark.range(9))
+        store.stage("b", spark.range(9))
+        raise RuntimeError
+    assert rows() == [1, 2] and store.current("b") is None
+    before = spark.read.parquet(store.current("a"))
+    with store.change():
+        store.stage("a", spark.range(1))
+        store.stage("b", spark.range(2))
+    assert rows() == [0] and store.current("b") and before.count() == 2  # the replaced version stays for one more change
+
+
+def test_stored_lexical_index(spark, tmp_path):
+    from millrace.operators import sparse
+
+    chunks = spark.createDataFrame([("a", "x", "one two two", "f", "en"), ("b", "y", "two three", "g", "en")], "id string, symbol string, content string, file_path string, language string")
+    made = sparse.index(chunks)
+    kept = sparse.store(made, str(tmp_path / "i"))
+    score = lambda i: sorted(sparse.score(i, [["two"]]).collect())
+    assert score(kept) == score(made) and kept.postings.filter("term = 'two'").select("bucket").distinct().count() == 1
+    again = sparse.refresh(kept, chunks.filter("id = 'a'").withColumn("content", F.lit("nine")), chunks.filter("id = 'b'").select("id"))
+    assert sparse.score(again, [["two"]]).count() == 0 and sparse.score(again, [["nine"]]).count() == 1
