@@ -21,9 +21,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import remainder, smallest
+from millrace.llm.common import remainder
 from millrace.llm.textvec import mix, slices, text_buffers, trim
 
 #: Hash buckets of the n-grams, and the largest sample of labelled rows that the classifiers are fitted on.
@@ -143,9 +144,34 @@ def _histograms(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray,
     return out
 
 
+def shares(counts: dict[str, int], most: int) -> dict[str, int]:
+    """How many rows each label may give so that all together give ``most``; what rare labels leave goes to the others."""
+    out, left = {}, most
+    for i, (label, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[label] = min(n, max(0, left // (len(counts) - i)))
+        left -= out[label]
+    return out
+
+
 def sample(docs: DataFrame, usable: Column, most: int = SAMPLE) -> DataFrame:
-    """At most ``most`` labelled rows: those with the smallest hashes of their ids. The bound is a parameter of the fit."""
-    return smallest(docs.filter(usable & F.col("label").isNotNull() & F.col("text").isNotNull()), most, SEED)
+    """At most ``most`` labelled rows, about as many of each label; the bound is a parameter of the fit.
+
+    A label gives the rows whose ids and texts have the smallest hashes. A bar on the hash, by the label's count, lets
+    through half as many again as are wanted, so that what is ranked does not grow with the table.
+    """
+    rows = docs.filter(usable & F.col("label").isNotNull() & F.col("text").isNotNull()).withColumn("_mark", F.xxhash64("doc_id", "text", F.lit(SEED)))
+    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # one row per language
+    wanted = {k: v for k, v in shares(counts, most).items() if v}
+    if not wanted:
+        return rows.drop("_mark").limit(0)
+    bars = {k: -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * (1.5 * v + 100) / counts[k])) for k, v in wanted.items()}
+    of = lambda values: F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.col("label")]
+    near = rows.filter(F.col("label").isin(list(wanted)))
+    there = {r.label for r in near.filter(F.col("_mark") <= of(bars)).groupBy("label").count().collect()}
+    bars |= dict.fromkeys(set(bars) - there, (1 << 63) - 1)  # rows that are all alike can miss the bar together
+    place = F.row_number().over(W.partitionBy("label").orderBy("_mark", "doc_id"))
+    ranked = near.filter(F.col("_mark") <= of(bars)).withColumn("_place", place)
+    return ranked.filter(F.col("_place") <= of(wanted)).drop("_mark", "_place")
 
 
 def fit(rows: DataFrame) -> Model:

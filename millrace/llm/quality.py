@@ -100,7 +100,10 @@ class Model:
             part = vectors[i : i + BLOCK]
             real = np.linalg.norm(part, axis=1) > 1e-9
             sims = _unit(part) @ self.vectors.T
-            near = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.broadcast_to(np.arange(k), (len(part), k))
+            near = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.tile(np.arange(k), (len(part), 1))
+            least = np.take_along_axis(sims, near, 1).min(1)
+            tied = np.flatnonzero((sims >= least[:, None]).sum(1) > k)
+            near[tied] = np.argsort(-sims[tied], axis=1, kind="stable")[:, :k]
             weight = np.maximum(np.take_along_axis(sims, near, 1), 0) ** 4 + 1e-9
             out[i : i + BLOCK][real] = ((weight * self.labels[near]).sum(1) / weight.sum(1))[real]
         return np.clip(out, 0.0, 1.0)

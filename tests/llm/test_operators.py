@@ -147,6 +147,46 @@ def test_language_cases(spark):
     assert len({tuple(r) for r in code}) == 9 and min((code[i] != code[j]).sum() for i in range(9) for j in range(i)) >= 8
 
 
+def brute_language(model, text):
+    """(language, score) by the definition: n-grams one by one, then the codeword of least weighted loss."""
+    fold = lambda c: (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+    codes = [32, 32] + [ord(fold(c)) for c in text or ""]
+    one = lambda x: int(language.mix(np.array([x], np.uint64))[0]) % (language.BUCKETS - 1)
+    sums, size = np.zeros(len(model.bias)), 0
+    for t in range(2, len(codes)):
+        a, b, c = codes[t - 2 : t + 1]
+        if c != 32 or b != 32:
+            size += 1
+            for g in ((1 << 63) + c, (1 << 62) + (b << 21 | c), a << 42 | b << 21 | c):
+                sums += model.weights[:, one(g)]
+    if not any(c.isalpha() for c in text or "") or not model.languages:
+        return "und", 0.0
+    margins = sums / max(size, 1) + model.bias
+    losses = [sum(trust * math.log1p(math.exp(-m * bit)) for m, bit, trust in zip(margins, code, model.trust)) for code in model.code]
+    p = np.exp(min(losses) - np.array(losses))
+    return model.languages[int(np.argmin(losses))], float(p.max() / p.sum())
+
+
+def test_language_brute(spark, sf):
+    docs = table(spark, sf, "documents").filter("n_chars < 1500")
+    model = language.fit_documents(table(spark, sf, "documents"))
+    odd = frame(spark, [(-1, "İstanbul ǅ É"), (-2, ""), (-3, None), (-4, "a"), (-5, "1 2 3"), (-6, "a"), (-6, "a")])
+    rows = docs.select("doc_id", "text").unionByName(odd)
+    got = language.identify(rows, model).collect()
+    assert len(got) == rows.count()
+    for r in got:
+        want, score = brute_language(model, r.text)
+        assert r.lang_pred == want and r.score == pytest.approx(score, abs=1e-4)
+
+
+def test_language_sample(spark):
+    assert language.shares({"a": 3, "b": 100, "c": 100}, 50) == {"a": 3, "b": 23, "c": 24}
+    rows = [(i, f"t{i}", "x") for i in range(900)] + [(2000 + i, f"u{i}", "y") for i in range(7)] + [(5, "same", "z")] * 500
+    docs = frame(spark, rows, "doc_id long, text string, label string")
+    got = collections.Counter(r.label for r in language.sample(docs, F.lit(True), 60).collect())
+    assert got["y"] == 7 and got["x"] >= 20 and 1 <= got["z"] <= 30 and sum(got.values()) <= 60
+
+
 # 3
 
 
@@ -384,6 +424,62 @@ def test_quality_cases(spark):
     assert {r.score for r in quality.score(new, quality.fit(docs.limit(0))).collect()} == {0.5}
 
 
+def brute_quality(model, text):
+    """The vote of the nearest labelled vectors, with terms found token by token."""
+    from millrace.llm import textvec
+
+    def kind(b):
+        return 0 if b in b",.'-" else 1 if 97 <= b < 123 or b >= 128 else 2 if 65 <= b < 91 else 4 if 48 <= b < 58 else 8
+
+    half, bag = quality.TERMS // 2, collections.Counter()
+    mixed = lambda x: half + int(textvec.mix(np.array([x % (1 << 64)], np.uint64))[0]) % half
+    shapes, last = [], None
+    for token in (text or "").encode().split():
+        low = np.frombuffer(token.lower(), np.uint8)
+        h = int(textvec.span_hashes(low, np.array([0]), np.array([len(low)]))[0])
+        bits = 0
+        for b in token:
+            bits |= kind(b)
+        shapes.append(bits << 6 | min(len(token), 31) // 4 << 2 | (h == last) << 1 | (kind(token[0]) == 2))
+        bag[h % half] += 1
+        bag[mixed(shapes[-1])] += 1
+        last = h
+    for n in (2, 3):
+        for i in range(len(shapes) - n + 1):
+            s = 0
+            for x in shapes[i : i + n]:
+                s = (s << 10) | x
+            bag[mixed(s + n)] += 1
+    if not bag:
+        return model.prior
+    v = np.zeros(quality.TERMS)
+    for k, c in bag.items():
+        v[k] = math.log1p(c) * model.idf[k]
+    z = v @ model.basis.astype(float)
+    sims = model.vectors.astype(float) @ (z / np.linalg.norm(z))
+    near = sorted(range(len(sims)), key=lambda i: (-sims[i], i))[: quality.NEIGHBOURS]
+    w = [max(sims[i], 0) ** 4 + 1e-9 for i in near]
+    return sum(a * model.labels[i] for a, i in zip(w, near)) / sum(w)
+
+
+def test_quality_brute(spark, sf):
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs.join(quality.sample(labels, remainder(F.col("doc_id"), 4) != 2), "doc_id"))
+    rows = docs.filter(F.length("text") < 1500).unionByName(frame(spark, [(-1, None), (-2, ""), (-3, "?! ?! 12,5 Abc abc abc"), (-3, "?! ?! 12,5 Abc abc abc"), (-4, "é" * 50)]))
+    got = quality.score(rows, model).join(rows.dropDuplicates(["doc_id"]), "doc_id").collect()
+    assert len(got) == rows.count()
+    off = [abs(r.score - brute_quality(model, r.text)) for r in got]
+    # rounding may swap neighbours at the cut, each with a vote of about 1 / NEIGHBOURS
+    assert sorted(off)[int(0.98 * len(off))] < 1e-3 and max(off) < 0.1
+
+
+def test_quality_ties():
+    vectors = np.tile(np.array([[1.0, 0.0]], np.float32), (80, 1))
+    labels = np.r_[np.ones(quality.NEIGHBOURS), np.zeros(80 - quality.NEIGHBOURS)]
+    model = quality.Model(np.ones(4), np.ones((4, 2)), vectors, labels, 0.5)
+    assert model.score(np.array([[2.0, 0.0], [0.0, 0.0]], np.float32)).tolist() == [1.0, 0.5]
+
+
 # 7
 
 
