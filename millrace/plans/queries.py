@@ -629,6 +629,19 @@ def structural_keys(spark, d):
     return evaluation.structural(nodes(spark, d), edges(spark, d), "imports", "supplier_7", 1).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT round(avg(recall_at_5), 4) AS recall_at_5, round(avg(recall_at_10), 4) AS recall_at_10, round(avg(ndcg_at_10), 4) AS ndcg_at_10, round(avg(mrr), 4) AS mrr FROM ({SQL['ranking_metrics']})")
+def mean_metrics(spark, d):
+    out = evaluation.aggregate(ranking_metrics(spark, d))
+    return out.select(*(F.round(c, 4).alias(c) for c in out.columns))
+
+
+@query(f"WITH {TRIALS} SELECT task_id, repetition, len(list_distinct(['t' || (repetition % 3), 't' || (steps % 3), 't' || (tokens % 2)]))::INTEGER AS unique_tools FROM trials")
+def unique_tools(spark, d):
+    name = lambda c, n: F.struct(F.concat(F.lit("t"), (F.col(c) % n).cast("string")).alias("name"))
+    t = trials(spark, d).withColumn("tool_calls", F.array(name("repetition", 3), name("steps", 3), name("tokens", 2)))
+    return experiments.flat(t).select("task_id", "repetition", "unique_tools")
+
+
 # the index pipeline and searches over it, end to end
 
 #: Chunks of a tree of plain text files: windows of 50 lines that step by 40.
