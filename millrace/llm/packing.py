@@ -32,7 +32,7 @@ CAPACITY, END = 4096, 1
 #: Pieces of one group, packed by one task.
 GROUP = 40_000
 #: Entries of a worker's caches of words and of their pieces, which start afresh when full.
-CACHED = 500_000
+CACHED = 250_000
 
 #: Bytes of text whose words are looked up together.
 SLICE = 6 << 20
