@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, partitions, release
-from millrace.llm.textvec import lowered, mix, slices, spaced, span_hashes, text_buffers, trim
+from millrace.llm.textvec import fresh, lowered, mix, slices, spaced, span_hashes, text_buffers, trim
 
 #: Words in the longest n-gram. Counts up to K are discounted. Shares in which a level is done.
 ORDER, K, PASSES = 3, 5, 2
@@ -120,6 +120,7 @@ def batches(docs: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        fresh()
         part, made = TaskContext.get().partitionId(), 0
         kinds = {"long": pa.int64(), "binary": pa.binary()}
         names, types = zip(*(x.split() for x in STATE.split(", ")), strict=True)

@@ -25,13 +25,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import remainder
-from millrace.llm.textvec import mix, slices, text_buffers, trim
+from millrace.llm.textvec import fresh, mix, parts_of, slices, text_buffers, trim
 
 #: Hash buckets of the n-grams, and the largest sample of labelled rows that the classifiers are fitted on.
 BUCKETS, SAMPLE = 1 << 14, 2000
 #: Languages above this number get random codewords of this many bits.
 EXHAUSTIVE, BITS = 5, 31
 EPOCHS, RATE, SEED = 25, 4.0, 7
+#: Rows that a worker judges and gives back at once.
+ROWS = 2000
 #: Score difference below which a decoding is ambiguous.
 MARGIN = 0.1
 
@@ -228,8 +230,9 @@ def identify(docs: DataFrame, model: Model, keep_text: bool = True, added: tuple
     ddl = ", ".join(f"`{n}` {schema[n].dataType.simpleString()}" for n in names) + ", {} string, {} double, {} boolean".format(*added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         m = shared.value
-        for batch in batches:
+        for batch in parts_of(batches, ROWS):
             margins, letters = m.margins(*text_buffers(batch["text"]))
             if m.languages:
                 best, score, near = m.decode(margins)
@@ -238,6 +241,7 @@ def identify(docs: DataFrame, model: Model, keep_text: bool = True, added: tuple
             pred = pa.array([m.languages[b] if n else "und" for b, n in zip(best, letters, strict=True)], pa.string())
             none = letters == 0
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pred, pa.array(np.where(none, 0.0, score)), pa.array(near | none)], [*names, *added])
+            del batch
             trim()
 
     return docs.select(*(f"`{n}`" for n in dict.fromkeys([*names, "text"]))).mapInArrow(run, ddl)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import SHINGLE, SIMILARITY, materialize, release, text_key
 from millrace.llm.graph import components
-from millrace.llm.textvec import counted, lowered, mix, shingles, slices, span_hashes, text_buffers, trim, word_spans
+from millrace.llm.textvec import counted, fresh, lowered, mix, shingles, slices, span_hashes, text_buffers, trim, word_spans
 
 #: A pair at similarity 0.8 is missed by all bands with probability (1 - 0.8^6)^32, about 6 in 100,000.
 BANDS, DEPTH = 32, 6
@@ -127,6 +127,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """(text_key, doc_id, shingles, bands) per row; ``bands`` is empty where a text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in batches:
             raw, offsets = text_buffers(batch["text"])
             sizes, keys = [], []

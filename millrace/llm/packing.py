@@ -12,7 +12,6 @@ Very long texts are encoded whole. An empty table gives no rows. Other columns a
 
 from __future__ import annotations
 
-import functools
 import itertools
 import re
 import unicodedata
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize
-from millrace.llm.textvec import slices, spaced, span_hashes, text_buffers, trim
+from millrace.llm.textvec import kept, slices, spaced, span_hashes, text_buffers, trim
 
 CAPACITY, END = 4096, 1
 #: Pieces of one group, packed by one task.
@@ -134,10 +133,9 @@ class WordEncoder:
         return self.rows(raw, np.array([0, len(raw)]))[0]
 
 
-@functools.lru_cache(1)
 def encoder_of(path: str) -> WordEncoder:
     """One encoder per worker process, so that tasks which follow each other share its caches."""
-    return WordEncoder(path)
+    return kept(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def pieces_of(ids: bytes, capacity: int = CAPACITY) -> Iterator[tuple[int, int, int, int]]:

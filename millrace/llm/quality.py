@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import smallest
-from millrace.llm.textvec import counted, lowered, mix, slices, spaced, span_hashes, text_buffers, trim
+from millrace.llm.textvec import counted, fresh, lowered, mix, slices, spaced, span_hashes, text_buffers, trim
 
 #: Hash buckets, latent dimensions, the largest labelled sample, neighbours that vote, rows of a block.
 TERMS, RANK, SAMPLE, NEIGHBOURS, BLOCK = 4096, 48, 3000, 25, 2048
@@ -156,6 +156,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ddl = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         m = shared.value
         for batch in batches:
             found = m.score(m.embed(*text_buffers(batch["text"])))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,24 @@ def trim() -> None:
         _trim(0)
 
 
+_kept: dict[str, Any] = {}
+
+
+def kept(key: str, make: Callable[[], Any]) -> Any:
+    """``make()``, kept by a worker for its next tasks until one asks for another key."""
+    if key not in _kept:
+        fresh()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def fresh() -> None:
+    """Drop what an earlier operator's tasks left in this worker; Spark uses workers again for other stages."""
+    if _kept:
+        _kept.clear()
+        trim()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x.astype(np.uint64, copy=True)
@@ -67,6 +87,14 @@ def slices(offsets: np.ndarray, most: int = SLICE):
         i = min(j, n)
 
 
+def parts_of(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows; none is held while the next one arrives."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        del batch
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row numbers of the words; ``raw`` is lower-cased already where that matters."""
     if not len(raw):

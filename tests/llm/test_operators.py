@@ -784,3 +784,24 @@ def test_purge(spark):
     common.purge(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|No such file"):
         spark.read.parquet(df._millrace_path).count()
+
+
+def test_worker_state():
+    """A worker keeps one thing from task to task; parts of batches have the batches' rows in order."""
+    import pyarrow as pa
+
+    from millrace.llm import textvec
+
+    made = []
+    for key in ("a", "a", "b", "a"):
+        assert textvec.kept(key, lambda key=key: made.append(key) or key) == key
+    assert made == ["a", "b", "a"] and list(textvec._kept) == ["a"]
+    textvec.fresh()
+    assert not textvec._kept
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array([f"{b} {i}" if i % 3 else None for i in range(n)], pa.string())}) for b, n in enumerate((5, 0, 4))]
+    parts = list(textvec.parts_of(iter(batches), 2))
+    assert [p.num_rows for p in parts] == [2, 2, 1, 2, 2]
+    assert [x for p in parts for x in p["text"].to_pylist()] == [x for b in batches for x in b["text"].to_pylist()]
+    for p in parts:
+        raw, at = textvec.text_buffers(p["text"])
+        assert [raw[a:z].tobytes().decode() for a, z in zip(at, at[1:])] == [x or "" for x in p["text"].to_pylist()]
