@@ -80,13 +80,16 @@ def bootstrap(df: DataFrame, keys: list[str], value: str, draws: int = 1000, lev
     """Percentile interval of the mean per group: keys, mean, lo, hi. Seeded, so runs repeat.
 
     Every draw picks n values by hashed positions: rows are exploded to draws and slots and joined back by
-    position, so no group is collected.
+    position, so no group is collected. The slots are ``draws`` times the rows, which Spark's size estimate does not
+    see, so they are spread over tasks and the join is a merge join: neither side is broadcast.
     """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = df.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(value)) - 1)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("mean"))
-    slots = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_b")).select(*keys, "_n", "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_s"))
+    slots = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_b")).repartition(tasks, *keys, "_b")
+    slots = slots.select(*keys, "_n", "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_s"))
     picked = slots.select(*keys, "_b", F.pmod(F.xxhash64(*keys, "_b", "_s", F.lit(seed)), F.col("_n")).cast("int").alias("_i"))
-    means = picked.join(numbered, [*keys, "_i"]).groupBy(*keys, "_b").agg(F.avg(value).alias("_m"))
+    means = picked.join(numbered.hint("merge"), [*keys, "_i"]).groupBy(*keys, "_b").agg(F.avg(value).alias("_m"))
     edge = (1 - level) / 2
     # the two ends of ``draws`` means; draws is a parameter, so the list is bounded
     ends = means.groupBy(*keys).agg(F.sort_array(F.collect_list("_m")).alias("_l"))

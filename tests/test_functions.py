@@ -204,3 +204,12 @@ def test_bootstrap_and_tests(spark):
     p = spark.createDataFrame([("k", 1.0, 1.0), ("j", 1.0, 3.0), ("j", 2.0, 1.0), ("j", 5.0, 1.0)], "k string, x double, y double")
     w = {r.k: r for r in stats.wilcoxon(p, ["k"], "x", "y").collect()}
     assert w["k"].p_value == 1 and w["j"].n == 3 and w["j"].statistic == 2
+
+
+def test_bootstrap_broadcasts_no_draws(spark):
+    df = spark.createDataFrame([("k", float(i % 7)) for i in range(50)] + [("j", 2.0)], "k string, v double")
+    out = stats.bootstrap(df, ["k"], "v", 40)
+    joins = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x]
+    assert any("SortMergeJoin" in x and "_i" in x for x in joins)
+    got = {r.k: r for r in out.collect()}
+    assert (got["j"].lo, got["j"].mean, got["j"].hi) == (2.0, 2.0, 2.0) and got["k"].lo < got["k"].mean < got["k"].hi
