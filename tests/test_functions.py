@@ -1,3 +1,4 @@
+import hashlib
 import math
 import os
 
@@ -213,3 +214,22 @@ def test_bootstrap_broadcasts_no_draws(spark):
     assert any("SortMergeJoin" in x and "_i" in x for x in joins)
     got = {r.k: r for r in out.collect()}
     assert (got["j"].lo, got["j"].mean, got["j"].hi) == (2.0, 2.0, 2.0) and got["k"].lo < got["k"].mean < got["k"].hi
+
+
+def test_enclosing_blocks(spark):
+    import random
+
+    rng = random.Random(5)
+    nodes = [(rng.choice("ab"), f"n{i}", s, s + rng.choice([-1, 0, 1, 2, 7, 30, 300])) for i, s in enumerate(rng.choices(range(-40, 200), k=150))] + [("a", None, 5, None), (None, "x", 0, 9)]
+    spots = [(i, rng.choice(["a", "b", "c", None]), rng.randrange(-60, 600)) for i in range(400)] + [(400, "a", None)]
+    e, n = spark.createDataFrame(spots, "i int, file_path string, pos long"), spark.createDataFrame(nodes, "file_path string, id string, start long, end long")
+    out = graph.enclosing(e, n)
+    inside = lambda f, p: [(y - x, d) for g, d, x, y in nodes if None not in (f, p, g, y) and f == g and x <= p <= y]
+    want = {i: min(inside(f, p))[1] if inside(f, p) else f and hashlib.sha256(f.encode()).hexdigest() for i, f, p in spots}
+    assert {r.i: r.source_id for r in out.collect()} == want and len(want) == 401
+    # many nodes around one position leave one row a block: before, every position met every node of its bucket
+    many = spark.range(3000).select(F.lit("a").alias("file_path"), F.col("id").cast("string").alias("id"), F.lit(0).alias("start"), F.col("id").alias("end"))
+    p = graph.enclosing(spark.range(3000).select(F.lit("a").alias("file_path"), F.lit(1).alias("pos")), many)
+    plan = p._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and {r.source_id for r in p.collect()} == {"1"}
+    assert all("_b" in x for x in plan.splitlines() if "SortMergeJoin" in x and "_k" in x)
