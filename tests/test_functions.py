@@ -233,3 +233,22 @@ def test_enclosing_blocks(spark):
     plan = p._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan and {r.source_id for r in p.collect()} == {"1"}
     assert all("_b" in x for x in plan.splitlines() if "SortMergeJoin" in x and "_k" in x)
+
+
+def test_batch_is_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(-3, 4, 6).astype(float).tolist() for _ in range(120)]
+    rows += rows[:40] * 2 + [[0.0] * 6] * 9 + [[float("nan"), 1.0, 0.0, 0.0, 0.0, 0.0], [1.0, None, 0.0, 0.0, 0.0, 0.0], [1.0, 2.0], [], None]
+    v = spark.createDataFrame([(f"c{i}", x) for i, x in enumerate(rows)], "chunk_id string, embedding array<float>")
+    q = v.select(F.col("chunk_id").alias("query_id"), "embedding").filter("embedding IS NOT NULL")
+    found = dense.knn_batch(v, q, 5, -0.5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan  # no pair of vectors is a row of the plan
+    pairs = v.join(q.select("query_id", F.col("embedding").alias("_q")), F.size("embedding") == F.size("_q"))
+    size = vectors.norm(F.col("embedding")) * vectors.norm(F.col("_q"))
+    scored = pairs.select("query_id", "chunk_id", F.when(size > 0, vectors.dot(F.col("embedding"), F.col("_q")) / size).otherwise(0.0).alias("score")).filter("score >= -0.5")
+    want = fusion.ranked(scored, ["query_id"], ["chunk_id"]).filter("rank <= 5").select("query_id", "rank", "chunk_id", "score")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(found) == key(want)
