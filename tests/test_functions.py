@@ -252,3 +252,13 @@ def test_batch_is_exact(spark):
     want = fusion.ranked(scored, ["query_id"], ["chunk_id"]).filter("rank <= 5").select("query_id", "rank", "chunk_id", "score")
     key = lambda df: sorted(map(str, df.collect()))
     assert key(found) == key(want)
+
+
+def test_counted_dependents(spark):
+    n = spark.createDataFrame([(f"n{i % 17}", f"s{i % 5}", "k", f"f{i % 3}") for i in range(40)] + [("x", None, "k", "f0")], "id string, symbol string, kind string, file_path string")
+    e = spark.createDataFrame([(f"n{i % 20}", f"s{i % 7}", ["call", "import", "extends", "reference"][i % 4]) for i in range(300)] + [("n1", None, "import")], "source_id string, target_symbol string, edge_type string")
+    for options in ({}, {"symbol": "s3"}, {"file": "f1"}):
+        rows = graph.dependents(n, e, **options)
+        want = rows.groupBy(rows.columns).count()
+        assert sorted(want.collect()) == sorted(graph.dependents(n, e, **options, counted=True).collect())
+    assert graph.dependents(n, e, counted=True).count() < graph.dependents(n, e).count()
