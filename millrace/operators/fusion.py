@@ -7,7 +7,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ KEY = ["file_path", "start_line", "end_line"]
 RRF_K, RERANK = 60, 20
 
 
-def ranked(results: DataFrame, by: list[str] = (), tie: list[str] = KEY) -> DataFrame:
+def ranked(results: DataFrame, by: list[str] = (), tie: list[str | Column] = KEY) -> DataFrame:
     """Add ``rank`` from 1 by descending score, per ``by`` keys if given."""
     order = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     return results.withColumn("rank", F.row_number().over(order.orderBy(F.desc("score"), *tie)))
@@ -41,17 +41,18 @@ def rrf(lists: list[DataFrame], k: int = RRF_K, limit: int | None = 10, by: list
     return fused.orderBy(F.desc("score"), *key).limit(limit)
 
 
-def hybrid(dense: Callable[[], DataFrame], sparse: Callable[[], DataFrame], k: int = RRF_K, limit: int = 10) -> DataFrame:
+def hybrid(dense: Callable[[], DataFrame], sparse: Callable[[], DataFrame], k: int = RRF_K, limit: int = 10, sparse_tie: list[str | Column] = KEY) -> DataFrame:
     """Fuse both legs; if one fails, in analysis or execution, the other alone; if both fail, an error.
 
-    Each leg has at most its own limit of rows, so it is run and kept before fusing.
+    Each leg has at most its own limit of rows, so it is run and kept before fusing. Equal scores of the dense leg
+    rank by key, those of the lexical one by ``sparse_tie``.
     """
     legs, errors = [], []
-    for leg in (dense, sparse):
+    for leg, tie in ((dense, KEY), (sparse, sparse_tie)):
         try:
-            df = leg()
-            rows = ranked(df).collect()  # a leg returns its top-k
-            legs.append(df.sparkSession.createDataFrame(rows, ranked(df).schema))
+            df = ranked(leg(), tie=tie)
+            rows = df.collect()  # a leg returns its top-k
+            legs.append(df.sparkSession.createDataFrame(rows, df.schema))
         except (PySparkException, ValueError, RuntimeError) as e:
             errors.append(e)
     if not legs:
@@ -97,7 +98,7 @@ def rerank(results: DataFrame, query: str, top_k: int = RERANK, scorer: Callable
     return out.select(*(F.col("_r").alias("rank") if c == "rank" else F.col(c) for c in names)).orderBy("rank")
 
 
-def merge(results: dict[str, DataFrame], limit: int = 10) -> DataFrame:
-    """Results of several workspaces with ``repo_name``, by descending score, cut to ``limit``."""
+def merge(results: dict[str, DataFrame], limit: int = 10, tie: list[str | Column] = ("repo_name", *KEY)) -> DataFrame:
+    """Results of several workspaces with ``repo_name``, by descending score, then ``tie``, cut to ``limit``."""
     marked = [df.withColumn("repo_name", F.lit(name)) for name, df in sorted(results.items())]
-    return reduce(DataFrame.unionByName, marked).orderBy(F.desc("score"), "repo_name", *KEY).limit(limit)
+    return reduce(DataFrame.unionByName, marked).orderBy(F.desc("score"), *tie).limit(limit)

@@ -60,7 +60,7 @@ def strategy(space: Workspace, options: Options, scorer=fusion.overlap_scorer):
         "sparse": lambda q: sparse.search(space.chunks, space.lexical, q, o.limit, o.language, o.path),
         "graph": lambda q: graph.search(space.nodes, space.edges, space.chunks, q, o.limit),
     }
-    legs["hybrid"] = lambda q: fusion.hybrid(lambda: legs["dense"](q), lambda: legs["sparse"](q), o.rrf_k, o.limit)
+    legs["hybrid"] = lambda q: fusion.hybrid(lambda: legs["dense"](q), lambda: legs["sparse"](q), o.rrf_k, o.limit, sparse.order())
     legs["hybrid-rerank"] = lambda q: fusion.rerank(fusion.ranked(legs["hybrid"](q)), q, o.rerank_top_k, scorer)
     return legs[o.mode]
 
@@ -79,10 +79,12 @@ def search(spaces: dict[str, Workspace], query: str, options: Options = Options(
     limit = min(options.limit, MOST)
     chosen = {n: spaces[n] for n in workspaces(sorted(spaces), names)}
     mode = routed_mode(next(iter(chosen.values())), query, routing, options.mode)
-    leg = lambda m: fusion.merge({n: strategy(s, Options(**{**options.__dict__, "mode": m, "limit": limit}))(query) for n, s in chosen.items()}, limit)
+    lexical, key = [*sparse.order(), "repo_name"], ["repo_name", *fusion.KEY]
+    results = lambda m: {n: strategy(s, Options(**{**options.__dict__, "mode": m, "limit": limit}))(query) for n, s in chosen.items()}
+    # a lexical leg without words has no bm25
+    leg = lambda m: fusion.merge(r := results(m), limit, lexical if m == "sparse" and all("bm25" in x.columns for x in r.values()) else key)
     if mode in ("hybrid", "hybrid-rerank") and len(chosen) > 1:
-        key = ["repo_name", *fusion.KEY]
-        legs = [fusion.ranked(leg(m), tie=key) for m in ("dense", "sparse")]
+        legs = [fusion.ranked(x, tie=lexical if "bm25" in x.columns else key) for x in map(leg, ("dense", "sparse"))]
         shared = [c for c in legs[0].columns if c in legs[1].columns]
         fused = fusion.rrf([x.select(shared) for x in legs], options.rrf_k, limit, key=key)
         return fusion.rerank(fusion.ranked(fused, tie=key), query, options.rerank_top_k) if mode == "hybrid-rerank" else fused
