@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,39 @@ def delete(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(keys).distinct(), keys, "left_anti")
 
 
+#: Bits of the filter in front of a join: at most 8 MB to broadcast, however many keys there are.
+BITS, BITMAP = 1 << 26, 1 << 15
+
+
+def _maybe(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with _maybe: false only where no row of ``keys`` has the same ``on``. Nothing of ``rows`` is shuffled."""
+    at = F.pmod(F.xxhash64(*on), F.lit(BITS))
+    bits = keys.select(at.alias("_at")).groupBy(F.expr(f"_at div {BITMAP}").alias("_k")).agg(F.bitmap_construct_agg(F.col("_at") % BITMAP).alias("_bits"))
+    marked = rows.withColumn("_at", at).withColumn("_k", F.expr(f"_at div {BITMAP}")).join(F.broadcast(bits), "_k", "left")
+    octet = F.conv(F.hex(F.substring("_bits", F.expr(f"cast(_at % {BITMAP} div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(_octet, cast(_at % 8 as int)) & 1") == 1
+    return marked.withColumn("_octet", octet).withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_k", "_at", "_bits", "_octet")
+
+
+def _matched(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    k = keys.select(*(F.col(c).alias(f"_{c}") for c in on)).distinct()
+    return rows.join(k, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on)), how)
+
+
+def within(rows: DataFrame, keys: DataFrame, on: list[str], by: list[str] | None = None) -> DataFrame:
+    """Rows whose ``on`` some row of ``keys`` has, nulls being equal: a semi join that shuffles few of the others.
+
+    A filter of bounded size comes first, over the columns ``by`` of ``on`` if some of the rest are dear to compute.
+    """
+    return _matched(_maybe(rows, keys, by or on).filter("_maybe").drop("_maybe"), keys, on, "left_semi")
+
+
+def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The other rows, of which those that the filter tells apart stay where they are."""
+    marked = _maybe(rows, keys, on)
+    return marked.filter("NOT _maybe").drop("_maybe").unionByName(_matched(marked.filter("_maybe").drop("_maybe"), keys, on, "left_anti"))
+
+
 def delete_chunks(chunks: DataFrame, vectors: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove chunks by id, and their vectors."""
     return delete(chunks, gone, ["id"]), delete(vectors, gone.select(F.col("id").alias("chunk_id")), ["chunk_id"])
@@ -101,6 +135,9 @@ class Versions:
     def _fs(self):
         return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def drop(self, name: str) -> None:
+        self._fs().delete(self._path(name), True)
+
     def _state(self) -> dict:
         fs, path = self._fs(), self._path(self.NAMES)
         if not fs.exists(path):
