@@ -1,7 +1,8 @@
-"""Callees of all names at once, and the polynomial hash."""
+"""Graph lookups of all names at once, and the polynomial hash."""
 
 import os
 import time
+from collections import Counter
 
 from millrace.functions.hashing import MASK, poly31
 from millrace.operators import graph
@@ -22,6 +23,18 @@ def test_callees_come_name_by_name(spark):
     assert sorted((r.id, r.source_symbol) for r in found.collect()) == wanted and len(wanted) > 3000
 
 
+def test_rows_are_repeated_and_not_joined_node_by_node(spark):
+    """Callers of a file's nodes and dependents: a row meets a name once, also one with more nodes than a block has."""
+    many = 2 * graph.BLOCK + 7
+    nodes = spark.createDataFrame([(f"n{i}", "hot", "f", "a") for i in range(many)] + [("m0", "one", "f", "a"), ("m1", "hot", "f", "b"), ("m2", None, "f", "a"), (None, "two", "f", "a")], "id string, symbol string, kind string, file_path string")
+    edges = spark.createDataFrame([(s, t, k) for k in ("call", "import") for s, t in [("m0", "hot"), ("m0", "hot"), ("m1", "one"), ("m1", "gone"), ("m1", None), ("m1", "two"), (None, "hot"), ("lost", "hot"), ("n5", "hot")]], "source_id string, target_symbol string, edge_type string")
+    found = {True: graph.callers(nodes, edges, file="a"), False: graph.dependents(nodes, edges, file="a")}
+    for got in found.values():
+        assert Counter((r.id, r.target_symbol) for r in got.collect()) == {("m0", "hot"): 2 * many, ("n5", "hot"): many, ("m1", "one"): 1, ("m1", "two"): 1}
+        assert "Generate explode(_copies" in got._jdf.queryExecution().executedPlan().toString()
+    assert graph.callers(nodes, edges, "hot", "a").count() == 3 * many and graph.dependents(nodes, edges, "one").collect() == [("m1", "hot", "f", "b", "one")]
+
+
 def test_poly31_is_the_sum_by_bytes():
     for n in (0, 1, 2, 1000, 65535, 65536, 65537, 200001):
         data, h = os.urandom(n), 0
