@@ -4,6 +4,8 @@ import os
 import time
 from collections import Counter
 
+from pyspark.sql import Row
+
 from millrace.functions.hashing import MASK, poly31
 from millrace.operators import graph
 
@@ -35,6 +37,27 @@ def test_rows_are_repeated_and_not_joined_node_by_node(spark):
     assert graph.callers(nodes, edges, "hot", "a").count() == 3 * many and graph.dependents(nodes, edges, "one").collect() == [("m1", "hot", "f", "b", "one")]
 
 
+def test_imports_meet_blocks_of_nodes(spark):
+    """A row per edge and node from joins of blocks; unresolved names and nodes with nulls get the external values."""
+    many = graph.BLOCK + 3
+    nodes = spark.createDataFrame([(f"n{i}", "hot", "f", f"p{i % 3}") for i in range(many)] + [("n1", "hot", "f", "p1"), ("m0", "one", "f", "a"), (None, "one", None, None), ("m1", None, "f", "b")], "id string, symbol string, kind string, file_path string")
+    edges = spark.createDataFrame([(s, t, "import") for s, t in [("m0", "hot"), ("m0", "hot"), ("m1", "one"), ("m1", "gone"), ("m0", None), ("lost", "hot"), (None, "hot"), ("n5", "gone")]] + [("m0", "one", "call")], "source_id string, target_symbol string, edge_type string")
+    found = graph.imports(nodes, edges)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Generate explode(coalesce(_nodes" in plan
+    source, names = {n.id: n.symbol for n in nodes.collect() if n.id}, {}
+    for n in nodes.collect():
+        names.setdefault(n.symbol, []).append(n)
+    wanted = Counter()
+    for e in edges.filter("edge_type = 'import'").collect():
+        name, ext = e.target_symbol, e.target_symbol and "ext:" + e.target_symbol
+        if e.source_id in source:
+            wanted.update((n.id or ext, name, n.kind or "external", n.file_path or "", source[e.source_id]) for n in (name and names.get(name)) or [Row(id=ext, kind="external", file_path="")])
+    assert Counter(map(tuple, found.collect())) == wanted and wanted["n1", "hot", "f", "p1", "one"] == 4 and wanted["ext:gone", "gone", "external", "", None] == 1
+    one = {k: v for k, v in wanted.items() if k[4] == "one"}
+    assert Counter(map(tuple, graph.imports(nodes, edges, "one").collect())) == one
+
+
 def test_poly31_is_the_sum_by_bytes():
     for n in (0, 1, 2, 1000, 65535, 65536, 65537, 200001):
         data, h = os.urandom(n), 0
